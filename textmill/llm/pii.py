@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 8000  # of each sampled document
-SURE = 0.9  # posterior from which a node's label counts
+SURE = 0.85  # posterior that a node of an added span must reach
 SWEEPS = 8
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -270,9 +270,9 @@ def found(texts: list[str], crf: SkipChainCRF) -> list[tuple[list[Span], list[Sp
         while i < len(post):
             k = label[i]
             j = i
-            while k in (3, 4) and j in chained and label[j + 1] == k and sure[j + 1]:
+            while k in (3, 4) and j in chained and label[j + 1] == k:
                 j += 1
-            if k and sure[i]:
+            if k and sure[i : j + 1].any():
                 number, a, _ = graph.spans[i]
                 b = graph.spans[j][2]
                 text = texts[number]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import dual_tree, language_id, packing, phrase_index, pii, token_counts, warc
+from textmill.llm import dual_tree, language_id, license_scan, packing, phrase_index, pii, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -88,5 +92,29 @@ FROM p LEFT JOIN m ON p.d = m.d
 """
 
 
+_TEMPLATES = ", ".join(f"('{label}', {sorted(set(license_scan._words(text)))})" for label, text in license_scan.TEMPLATES)
+_PHRASES = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES)
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+t(label, words) AS (VALUES {_TEMPLATES}),
+p(label, words) AS (VALUES {_PHRASES}),
+b AS (
+  SELECT doc_id, label, k FROM d, p, unnest(range(0, len(w) - len(words) + 1)) AS u(k)
+  WHERE w[k + 1 : k + len(words)] = words),
+l AS (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (
+  SELECT doc_id, label, len(list_intersect(x, words)) / len(words) AS c FROM l, t
+  WHERE len(list_intersect(x, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+n AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, max(c) AS best FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base IS NOT NULL THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2, "op5_decontamination": OP5, "op6_warc": OP6}
+    return {"op2_exact_top_k": OP2, "op5_decontamination": OP5, "op6_warc": OP6, "op9_license_scan": OP9}
