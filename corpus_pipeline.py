@@ -1,11 +1,61 @@
-"""The corpus pipeline: stages that each apply one operator to all that the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to all documents that the stage before kept.
 
-STAGES: list = []
+language: documents without a letter, or that no language wins, go. near_duplicates: one document of each
+group of near copies stays. benchmark: documents with a benchmark window go. personal_data: personal data
+are replaced by their kind in brackets. packing: the documents' tokens in windows. All but the last return
+the columns that they got.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmill.llm import jaccard_join, language_id, packing, phrase_index, pii
+from textmill.llm._common import stored
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that some learned language wins; repeated rows are judged alike."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    judged = language_id.identify(docs, language_id.fit(docs), keep=others)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each component; all documents without words."""
+    return jaccard_join.first_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with any window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = phrase_index.decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data; n_chars follows the text."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = pii.find(docs, pii.fit(docs), keep=others, mask=True).withColumnRenamed("_masked", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("packing", pack)]
+
+#: Cross parsing, the random field and tokenizers aren't expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs

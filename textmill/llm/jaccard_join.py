@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm._common import hashed_words, mixed, slices_by_bytes, stored
@@ -63,9 +63,13 @@ def need(n: np.ndarray | int, percent: int):
     return (n * percent + 99) // 100
 
 
+def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A row's id and text in 64 bits."""
+    return F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))
+
+
 def _by_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = docs[text_col].cast("string")
-    return docs.select(text.alias("text"), docs[id_col].alias("id"), F.xxhash64(docs[id_col].cast("string"), text).alias("key"))
+    return docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].alias("id"), _key(docs, id_col, text_col).alias("key"))
 
 
 def _classes(rows: DataFrame, size: int) -> DataFrame:
@@ -254,13 +258,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the least id that links reach).
-
-    Null, empty and blank texts have no shingles and link with nothing, so they keep their own id. Repeated
-    rows and copies are one class with one component. Rows with a null id count as texts; if a component has
-    no other id, its id is null. Other columns are not read. An empty table gives no rows.
-    """
+def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """Per row: id, n_shingles, component_id, its key, and the key of its component's first row (null if alone)."""
     rows = _by_row(docs, id_col, text_col)
     out = stored(_classes(rows, size), "classes")
     classes = out.where("n > 0").select("key", "fp")
@@ -300,7 +299,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         members = filed.select("fp", "g").distinct().join(sent.select("g").distinct(), "g", "left_semi").select("fp", "g")
         last = stored(_links(sent, members, sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
         roots = connected_components(links.unionByName(last))
-    ids = out.where("common is null").select("id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
-    ids = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", F.coalesce("root", "fp").alias("component"))
-    several = ids.where("component is not null").groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("times")).where("times > 1").select("component", "least")
-    return ids.join(several, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    ids = out.where("common is null").select("id", "n", "key", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
+    ids = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", "key", F.coalesce("root", "fp").alias("component"))
+    several = ids.where("component is not null").groupBy("component").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first_key"), F.count("*").alias("times")).where("times > 1").select("component", "least", "first_key")
+    return ids.join(several, "component", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "key", "first_key")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the least id that links reach).
+
+    Null, empty and blank texts have no shingles and link with nothing, so they keep their own id. Repeated
+    rows and copies are one class with one component. Rows with a null id count as texts; if a component has
+    no other id, its id is null. Other columns are not read. An empty table gives no rows.
+    """
+    return _components(docs, id_col, text_col, size, percent, rounds).select(id_col, "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs, all columns, of which one stays per component: that with the least id.
+
+    Of rows that repeat an id and a text, one stays. Rows without shingles all stay.
+    """
+    found = stored(_components(docs, id_col, text_col, size, percent, rounds), "components")
+    kept = found.where((F.col("n_shingles") == 0) | F.col("first_key").isNull() | (F.col("key") == F.col("first_key")))
+    keyed = docs.withColumn("_key", _key(docs, id_col, text_col))
+    repeated = not kept.where("n_shingles > 0").groupBy("key").count().where("count > 1").isEmpty()
+    out = keyed.join(kept.select(F.col("key").alias("_key")), "_key", "left_semi")
+    if repeated:
+        blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+        out = out.where(blank).unionByName(out.where(~blank).dropDuplicates(["_key"]))
+    return out.select(*docs.columns)
