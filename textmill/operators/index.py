@@ -38,9 +38,9 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
-def doc_lengths(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Kept tokens per document; documents without any have length 0."""
-    counts = terms.groupBy("doc_id").agg(F.count("*").alias("n"))
+def doc_lengths(docs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Kept tokens per document, from the postings; documents without any have length 0."""
+    counts = posts.groupBy("doc_id").agg(F.sum("tf").alias("n"))
     return docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("dl"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +28,12 @@ class Index(NamedTuple):
 Scorer = Callable[..., DataFrame]
 
 
-def build(docs: DataFrame, **analysis) -> Index:
-    """An index of docs(doc_id, text); analysis as for terms_of."""
-    terms = I.terms_of(docs, **analysis)
-    posts = I.postings(terms)
-    lengths = I.doc_lengths(docs, terms)
+def build(docs: DataFrame, keep: bool = False, **analysis) -> Index:
+    """An index of docs(doc_id, text); analysis as for terms_of. With keep, the postings are persisted, as all else derives from them."""
+    posts = I.postings(I.terms_of(docs, **analysis))
+    if keep:
+        posts = posts.persist(StorageLevel.MEMORY_AND_DISK)
+    lengths = I.doc_lengths(docs, posts)
     return Index(posts, I.term_stats(posts), lengths, I.corpus_stats(lengths))
 
 

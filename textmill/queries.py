@@ -33,8 +33,15 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_kept: dict[tuple[str, str], scoring.Index] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> scoring.Index:
-    return scoring.build(_docs(spark, sf_dir))
+    """The index of a folder's documents, whose postings are persisted once per application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _kept:
+        _kept[key] = scoring.build(_docs(spark, sf_dir), keep=True)
+    return _kept[key]
 
 
 def _q(spark: SparkSession, sf_dir: str) -> DataFrame:
