@@ -1,15 +1,18 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Texts are sets of hashed word shingles; equal sets are one class, found by fingerprint. Two classes that
-meet the threshold share a token of their prefixes (the first n - ceil(t n) + 1 in a common order, tokens of
-many documents last), so only tokens that stand in two prefixes matter further.
-
-Groups: each class is filed under the least class that shares a prefix token with it, its hub, and is tested
-against the hub; a few rounds do this for what no hub took in. Linked classes form a group. The matrix holds,
-per prefix token, the groups that have it. For a class and a group of another component that share a prefix
-token, the overlap with the group's token union bounds every member's; only groups whose bound reaches the
-threshold are opened, and their members are compared until one links. Groups and the classes that are sent to
-them are cut into blocks, so no task gathers a large group, and copies are never paired with each other.
+Texts are sets of hashed word shingles; equal sets are one class, found by fingerprint. A class's prefix are
+its first n - ceil(t n) + c tokens in a common order, tokens of many documents last. Of two classes that link,
+at most n - ceil(t n) tokens of either are not common, so the first c common tokens stand in both prefixes:
+they share c(m) prefix tokens, m the smaller set's size. c grows with the size, so that a shared passage or a
+few stray tokens don't make a candidate. Only tokens that stand in two prefixes matter further.
+
+Groups: each class is filed under the hub that it shares most prefix tokens with (a token's hub is its least
+class), and is tested against it; a few rounds do this for what no hub took in. Linked classes form a group.
+The matrix holds, per prefix token, the groups that have it. A class is sent to a group of another component
+if it has c prefix tokens in common with the group's prefix tokens. There its overlap with the group's token
+union bounds that with every member; only groups whose bound reaches the threshold are opened, and members
+are compared until one links. Groups and the classes that are sent to them are cut into blocks, so no task
+gathers a large group, and copies are never paired with each other.
 """
 
 from __future__ import annotations
@@ -68,6 +71,16 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))
 
 
+def certain(n):
+    """How many prefix tokens a set of n shares with any set of its size or more that it links with."""
+    return n // 20 + 1
+
+
+def _certain_links(n: Column, percent: int = PERCENT) -> Column:
+    """The same for all sets that a set of n can link with: they have percent of its size at least."""
+    return F.floor(F.ceil(n * percent / 100) / 20) + 1
+
+
 def _by_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].alias("id"), _key(docs, id_col, text_col).alias("key"))
 
@@ -114,7 +127,7 @@ def _classes(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Rows (token, fp) of all prefixes; tokens in common come last in the order."""
+    """Rows (token, fp, n) of all prefixes; tokens in common come last in the order."""
     box = rows.sparkSession.sparkContext.broadcast(np.sort(common))  # MAX_COMMON at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +135,14 @@ def _prefixes(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> D
         seen: set[int] = set()
         for batch in batches:
             for part in slices_by_bytes(batch, 0):
-                tokens, fps = [], []
+                tokens, fps, sizes = [], [], []
                 for x in shingle_sets(part.column(0), size):
                     fp = fingerprint(x)
                     if not len(x) or fp in seen:
                         continue
                     seen.add(fp)
-                    n = len(x) - need(len(x), percent) + 1
+                    n = min(len(x), len(x) - need(len(x), percent) + certain(len(x)))
+                    sizes.append(np.full(n, len(x), np.int32))
                     if len(last):
                         at = np.searchsorted(last, x)
                         at[at == len(last)] = 0
@@ -137,44 +151,45 @@ def _prefixes(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> D
                     tokens.append(x[:n])
                     fps.append(np.full(n, fp, np.int64))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(fps))], names=["token", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes))], names=["token", "fp", "n"])
 
-    return rows.select("text").mapInArrow(run, "token long, fp long")
+    return rows.select("text").mapInArrow(run, "token long, fp long, n int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows (token, fp, hub) of tokens with two classes or more; hub is the token's least class.
+    """Rows (token, fp, n) of tokens with two classes or more.
 
     Each partition is a sorted stream of which one row is held, however many classes a token has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, hub, last, alone = None, None, None, False
+        last: tuple | None = None  # the row that the batches so far ended with
+        alone = False  # and whether it is its token's only one so far
         for batch in batches:
-            t, f = (batch.column(k).to_numpy() for k in (0, 1))
-            if not len(t):
-                continue
-            new = np.concatenate([[t[0] != token], t[1:] != t[:-1]])
-            again = np.concatenate([[not new[0] and f[0] == last], (t[1:] == t[:-1]) & (f[1:] == f[:-1])])
-            t, f, new = t[~again], f[~again], new[~again]
+            t, f, n = (batch.column(k).to_numpy() for k in range(3))
             if not len(t):
                 continue
-            run_of = np.cumsum(new)  # 0: the run that the batch before ended with
-            first = np.flatnonzero(new)
-            hubs = np.concatenate([[0 if hub is None else hub], f[first]])
-            size = np.bincount(run_of, minlength=len(hubs))
-            keep = (size[run_of] > 1) | (run_of == 0)
-            tail_alone = size[-1] == 1 and len(first) > 0  # the last run may go on in the next batch
-            out = [(t[keep], f[keep], hubs[run_of[keep]])]
-            if alone and size[0]:
-                out.insert(0, (np.array([token]), np.array([hub]), np.array([hub])))
-            token, hub, last = t[-1], hubs[run_of[-1]], f[-1]
-            alone = tail_alone if len(first) else alone and not size[0]
-            arrays = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
-            if len(arrays[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["token", "fp", "hub"])
-
-    return prefixes.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(run, "token long, fp long, hub long")
+            if last is not None:
+                t, f, n = (np.concatenate([[x], y]) for x, y in zip(last, (t, f, n), strict=True))
+            new_token = np.concatenate([[True], t[1:] != t[:-1]])
+            new = new_token.copy()
+            new[1:] |= f[1:] != f[:-1]
+            t, f, n, new_token = t[new], f[new], n[new], new_token[new]
+            size = np.bincount(np.cumsum(new_token) - 1)
+            several = np.repeat(size, size) > 1
+            if last is not None:
+                several[0] &= alone  # else it was given before
+                if not alone:
+                    several[1 : size[0]] = True
+            if size[-1] == 1 and not (last is not None and len(size) == 1 and not alone):
+                alone = True
+            else:
+                alone = False
+            last = (t[-1], f[-1], n[-1])
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[several], k) for x, k in ((t, pa.int64()), (f, pa.int64()), (n, pa.int32()))], names=["token", "fp", "n"])
+
+    return prefixes.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(run, "token long, fp long, n int")
 
 
 def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -266,16 +281,17 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = out.where("common is not null").groupBy("common").agg(F.sum("times").alias("times"))
     common = np.array([r["common"] for r in often.where("times >= 8").orderBy(F.desc("times"), "common").limit(MAX_COMMON).collect()], np.int64).view(np.uint64)
     shared = stored(_shared(_prefixes(rows, common, size, percent)), "shared")
-    candidates = shared.select("fp").distinct()
-    sets = stored(_sets(rows, classes, candidates, size), "sets")
+    for _ in range(2):  # what shares too few tokens with all others together links with none
+        play = shared.groupBy("fp", "n").agg(F.count("*").alias("k")).where(F.col("k") >= _certain_links(F.col("n"), percent)).select("fp")
+        shared = stored(_shared(shared.join(play, "fp", "left_semi").select("token", "fp", "n")), "shared")
+    sets = stored(_sets(rows, classes, shared.select("fp").distinct(), size), "sets")
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     active = shared
     for k in range(rounds):
-        if k:
-            hubs = active.groupBy("token").agg(F.min("fp").alias("hub"))
-            active = active.drop("hub").join(hubs, "token")
-        pairs = stored(active.groupBy("fp").agg(F.min("hub").alias("g")).where("g <> fp").withColumnRenamed("fp", "q"), "pairs")
+        hubs = active.groupBy("token").agg(F.min("fp").alias("hub"))
+        counts = active.join(hubs, "token").where("hub <> fp").groupBy("fp", "n", "hub").agg(F.count("*").alias("k")).where(F.col("k") >= _certain_links(F.col("n"), percent))
+        pairs = stored(counts.groupBy(F.col("fp").alias("q")).agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("g")), "pairs")
         if pairs.isEmpty():
             break
         members = pairs.select("g").distinct().select(F.col("g").alias("fp"), "g")
@@ -286,7 +302,7 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             active = stored(active.join(taken, "fp", "left_anti"), "active")
     roots = connected_components(links)
     # The token-group matrix: groups are the components so far, classes without links by themselves.
-    filed = shared.select("token", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.coalesce("root", "fp").alias("g"))
+    filed = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.col("n").alias("tokens"), F.coalesce("root", "fp").alias("g"))
     filed = stored(filed, "filed")
     mixed_tokens = filed.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
     matrix = filed.join(mixed_tokens, "token", "left_semi")
@@ -294,7 +310,9 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weighed = stored(matrix.join(sizes, "g"), "matrix")
     groups = weighed.select("token", F.col("g").alias("other"), F.col("n").alias("m")).distinct()
     smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("g") < F.col("other")))
-    sent = stored(weighed.join(groups, "token").where(smaller).select(F.col("fp").alias("q"), F.col("other").alias("g")).distinct(), "sent")
+    # Prefix tokens that a class has in common with a group's: at least those in common with the member that it links with.
+    pairs = weighed.join(groups, "token").where(smaller).groupBy(F.col("fp").alias("q"), "tokens", F.col("other").alias("g")).agg(F.count("*").alias("k"))
+    sent = stored(pairs.where(F.col("k") >= _certain_links(F.col("tokens"), percent)).select("q", "g"), "sent")
     if not sent.isEmpty():
         members = filed.select("fp", "g").distinct().join(sent.select("g").distinct(), "g", "left_semi").select("fp", "g")
         last = stored(_links(sent, members, sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
