@@ -6,13 +6,13 @@ at most n - ceil(t n) tokens of either are not common, so the first c common tok
 they share c(m) prefix tokens, m the smaller set's size. c grows with the size, so that a shared passage or a
 few stray tokens don't make a candidate. Only tokens that stand in two prefixes matter further.
 
-Groups: each class is filed under the hub that it shares most prefix tokens with (a token's hub is its least
-class), and is tested against it; a few rounds do this for what no hub took in. Linked classes form a group.
-The matrix holds, per prefix token, the groups that have it. A class is sent to a group of another component
-if it has c prefix tokens in common with the group's prefix tokens. There its overlap with the group's token
-union bounds that with every member; only groups whose bound reaches the threshold are opened, and members
-are compared until one links. Groups and the classes that are sent to them are cut into blocks, so no task
-gathers a large group, and copies are never paired with each other.
+Groups: each class is filed under the hub that it shares most prefix tokens with, and is tested against it; a
+token's hub is its least class of about that size. What no hub took in gets another round. Linked classes form a group; classes that their hub didn't take in form
+groups by hub. The matrix holds, per prefix token, the groups that have it. A class is sent to another group if
+it has c prefix tokens in common with it, and to its own if that isn't one component. There its overlap with
+the group's token union bounds that with every member; only groups whose bound reaches the threshold are
+opened. Groups and the classes that are sent to them are cut into blocks, so no task gathers a large group, and
+copies are never paired with each other.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import hashed_words, mixed, slices_by_bytes, stored
+from textmill.llm._common import hashed_words, mixed, ranged, slices_by_bytes, stored
 
 SHINGLE = 5
 PERCENT = 80
-ROUNDS = 3
+ROUNDS = 2
 COMMON_IN_TASK = 3  # documents of a task from which on a token is reported as common
 MAX_COMMON = 200_000  # common tokens that are put last in the order; any choice gives the same result
 BLOCK = 256  # classes of a group that are compared at once
@@ -205,55 +205,49 @@ def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
     return rows.join(picked, "key", "left_semi").select("text").mapInArrow(run, "fp long, tokens binary").dropDuplicates(["fp"])
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
 def _links(sent: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For pairs (q, g): a member of g that q links with, if any, as rows (q, fp). members: (fp, g)."""
+    """Links of classes that are sent to groups, rows (q, fp), as many as join the components that link there.
+
+    sent: (q, g, comp) with q's component; members: (fp, g, comp).
+    """
     counted = sent.groupBy("g").agg(F.count("*").alias("n_sent")).join(members.groupBy("g").agg(F.count("*").alias("n_members")), "g")
-    cuts = counted.select("g", F.ceil(F.col("n_sent") / SENT).cast("int").alias("sends"), F.ceil(F.col("n_members") / BLOCK).cast("int").alias("blocks"))
-    cuts = stored(cuts, "cuts")
-    left = sent.join(cuts, "g").select("g", "q", F.pmod(F.xxhash64("q"), "sends").alias("send"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = members.join(cuts, "g").select("g", "fp", F.pmod(F.xxhash64("fp"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sends") - 1)).alias("send"))
-    left = left.join(sets.select(F.col("fp").alias("q"), F.col("tokens")), "q").withColumn("is_q", F.lit(True))
-    right = right.join(sets, "fp").withColumnRenamed("fp", "q").withColumn("is_q", F.lit(False))
-    columns = ["g", "block", "send", "q", "is_q", "tokens"]
-    both = left.select(*columns).unionByName(right.select(F.col("g"), F.col("block").cast("int").alias("block"), F.col("send").cast("long").alias("send"), "q", "is_q", "tokens"))
-    n = max(8, -(-(cuts.agg(F.sum(F.col("sends") * F.col("blocks"))).first()[0] or 0) * 2 // BUCKET), -(-sent.count() // BUCKET))
+    cuts = stored(counted.select("g", F.ceil(F.col("n_sent") / SENT).cast("int").alias("sends"), F.ceil(F.col("n_members") / BLOCK).cast("int").alias("blocks")), "cuts")
+    left = sent.join(cuts, "g").select("g", "q", "comp", F.pmod(F.xxhash64("q"), "sends").alias("send"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_q"))
+    right = members.join(cuts, "g").select("g", F.col("fp").alias("q"), "comp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sends").cast("long") - 1)).alias("send"), F.lit(False).alias("is_q"))
+    both = left.unionByName(right).join(sets.withColumnRenamed("fp", "q"), "q")
+    total = cuts.agg(F.sum(F.col("sends") * F.col("blocks"))).first()[0] or 0
+    n = max(8, -(-2 * total // BUCKET), -(-sent.count() // BUCKET))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in pdf.groupby(["g", "block", "send"], sort=False):
-            flags = own["is_q"].to_numpy(bool)
-            names = own["q"].to_numpy()
-            tokens = [np.frombuffer(x, np.uint64) for x in own["tokens"]]
-            inside = [i for i in range(len(own)) if not flags[i]]
-            if not inside or flags.sum() == 0:
+            is_q = own["is_q"].to_numpy(bool)
+            if is_q.all() or not is_q.any():
                 continue
-            union = np.unique(np.concatenate([tokens[i] for i in inside])) if len(inside) > 1 else tokens[inside[0]]
-            for i in np.flatnonzero(flags):
+            names, comps = own["q"].to_numpy(), own["comp"].to_numpy()
+            tokens = [np.frombuffer(x, np.uint64) for x in own["tokens"]]
+            inside = np.flatnonzero(~is_q)
+            sizes = np.array([len(tokens[i]) for i in inside])
+            pool = np.concatenate([tokens[i] for i in inside])
+            order = np.argsort(pool, kind="stable")
+            pool, owner = pool[order], np.repeat(np.arange(len(inside)), sizes)[order]
+            comps, parent = np.unique(comps, return_inverse=True)[1], np.arange(len(comps))  # parent: of components that links here joined
+            for i in np.flatnonzero(is_q):
                 q = tokens[i]
-                if overlap(q, union) < need(len(q), percent):
-                    continue  # the group's bound
-                for j in inside:
-                    m = tokens[j]
-                    if names[j] == names[i] or len(m) * 100 < len(q) * percent or len(q) * 100 < len(m) * percent:
-                        continue
-                    common = overlap(q, m)
-                    if 100 * common >= percent * (len(q) + len(m) - common):
-                        out.append((names[i], names[j]))
-                        break
+                low, high = np.searchsorted(pool, q), np.searchsorted(pool, q, "right")
+                if (high > low).sum() < need(len(q), percent):
+                    continue  # the bound by the group's union
+                common = np.bincount(ranged(owner, low, high - low), minlength=len(inside))
+                linked = np.flatnonzero(100 * common >= percent * (len(q) + sizes - common))
+                apart, first = np.unique(parent[comps[inside[linked]]], return_index=True)
+                mine = parent[comps[i]]
+                for other, j in zip(apart, first, strict=True):
+                    if other != mine:
+                        out.append((names[i], names[inside[linked[j]]]))
+                        parent[parent == other] = mine
         return pd.DataFrame(out, columns=["q", "fp"]).astype("int64")
 
-    return both.withColumn("bucket", F.pmod(F.xxhash64("g", F.col("block").cast("long"), F.col("send").cast("long")), F.lit(n))).groupBy("bucket").applyInPandas(compare, "q long, fp long")
+    return both.withColumn("bucket", F.pmod(F.xxhash64("g", F.col("block").cast("long"), "send"), F.lit(n))).groupBy("bucket").applyInPandas(compare, "q long, fp long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -281,40 +275,47 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = out.where("common is not null").groupBy("common").agg(F.sum("times").alias("times"))
     common = np.array([r["common"] for r in often.where("times >= 8").orderBy(F.desc("times"), "common").limit(MAX_COMMON).collect()], np.int64).view(np.uint64)
     shared = stored(_shared(_prefixes(rows, common, size, percent)), "shared")
-    for _ in range(2):  # what shares too few tokens with all others together links with none
-        play = shared.groupBy("fp", "n").agg(F.count("*").alias("k")).where(F.col("k") >= _certain_links(F.col("n"), percent)).select("fp")
-        shared = stored(_shared(shared.join(play, "fp", "left_semi").select("token", "fp", "n")), "shared")
+    # What shares too few tokens with all others together links with none.
+    play = shared.groupBy("fp", "n").agg(F.count("*").alias("k")).where(F.col("k") >= _certain_links(F.col("n"), percent)).select("fp")
+    shared = stored(_shared(shared.join(play, "fp", "left_semi").select("token", "fp", "n")), "shared")
     sets = stored(_sets(rows, classes, shared.select("fp").distinct(), size), "sets")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    filed = docs.sparkSession.createDataFrame([], "fp long, hub long, round int")
     active = shared
+    about = F.floor(F.log("n") / np.log(100 / percent))
     for k in range(rounds):
-        hubs = active.groupBy("token").agg(F.min("fp").alias("hub"))
-        counts = active.join(hubs, "token").where("hub <> fp").groupBy("fp", "n", "hub").agg(F.count("*").alias("k")).where(F.col("k") >= _certain_links(F.col("n"), percent))
-        pairs = stored(counts.groupBy(F.col("fp").alias("q")).agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("g")), "pairs")
+        sized = active.withColumn("about", about)
+        hubs = sized.groupBy("token", "about").agg(F.min("fp").alias("hub"))
+        counts = sized.join(hubs, ["token", "about"]).where("hub <> fp").groupBy("fp", "n", "hub").agg(F.count("*").alias("k")).where(F.col("k") >= _certain_links(F.col("n"), percent))
+        pairs = stored(counts.groupBy(F.col("fp").alias("q")).agg(F.max_by("hub", F.struct("k", "hub")).alias("g")).withColumn("comp", F.col("q")), "pairs")
         if pairs.isEmpty():
             break
-        members = pairs.select("g").distinct().select(F.col("g").alias("fp"), "g")
-        found = stored(_links(pairs, members, sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
+        used = pairs.select("g").distinct()
+        found = stored(_links(pairs, used.select(F.col("g").alias("fp"), "g", F.col("g").alias("comp")), sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
         links = links.unionByName(found)
-        taken = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        filed = filed.unionByName(pairs.select(F.col("q").alias("fp"), F.col("g").alias("hub"), F.lit(k).alias("round")))
         if k + 1 < rounds:
-            active = stored(active.join(taken, "fp", "left_anti"), "active")
+            done = found.select("a").unionByName(used.select(F.col("g").alias("a"))).distinct().withColumnRenamed("a", "fp")
+            active = stored(active.join(done, "fp", "left_anti"), "active")
     roots = connected_components(links)
-    # The token-group matrix: groups are the components so far, classes without links by themselves.
-    filed = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", F.col("n").alias("tokens"), F.coalesce("root", "fp").alias("g"))
-    filed = stored(filed, "filed")
-    mixed_tokens = filed.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
-    matrix = filed.join(mixed_tokens, "token", "left_semi")
-    sizes = filed.select("fp", "g").distinct().groupBy("g").agg(F.count("*").alias("n"))
-    weighed = stored(matrix.join(sizes, "g"), "matrix")
-    groups = weighed.select("token", F.col("g").alias("other"), F.col("n").alias("m")).distinct()
-    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("g") < F.col("other")))
+    # The token-group matrix.
+    hub = filed.groupBy("fp").agg(F.min_by("hub", "round").alias("hub"))
+    grouped = shared.select("fp", "n").distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(hub, "fp", "left")
+    grouped = stored(grouped.select("fp", "n", F.coalesce("root", "fp").alias("comp"), F.coalesce("root", F.xxhash64(F.coalesce("hub", "fp"), F.lit("apart"))).alias("g")), "groups")
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("m"), (F.min("comp") < F.max("comp")).alias("several"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = grouped.drop("n").join(sizes, "g")
+    matrix = shared.select("token", "fp", F.col("n").alias("tokens")).join(sized, "fp")
+    across = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
+    matrix = stored(matrix.join(across, "token", "left_semi"), "matrix")
+    entries = matrix.select("token", F.col("g").alias("other"), F.col("m").alias("size"), F.col("least").alias("from"), F.col("most").alias("to")).distinct()
+    smaller = (F.col("m") < F.col("size")) | ((F.col("m") == F.col("size")) & (F.col("g") < F.col("other")))
     # Prefix tokens that a class has in common with a group's: at least those in common with the member that it links with.
-    pairs = weighed.join(groups, "token").where(smaller).groupBy(F.col("fp").alias("q"), "tokens", F.col("other").alias("g")).agg(F.count("*").alias("k"))
-    sent = stored(pairs.where(F.col("k") >= _certain_links(F.col("tokens"), percent)).select("q", "g"), "sent")
+    fits = (F.col("to") * 100 >= F.col("tokens") * percent) & (F.col("from") * percent <= F.col("tokens") * 100)
+    pairs = matrix.join(entries, "token").where(smaller & fits).groupBy(F.col("fp").alias("q"), "tokens", "comp", F.col("other").alias("g")).agg(F.count("*").alias("k"))
+    pairs = pairs.where(F.col("k") >= _certain_links(F.col("tokens"), percent)).select("q", "g", "comp")
+    sent = stored(pairs.unionByName(sized.where("several").select(F.col("fp").alias("q"), "g", "comp")), "sent")
     if not sent.isEmpty():
-        members = filed.select("fp", "g").distinct().join(sent.select("g").distinct(), "g", "left_semi").select("fp", "g")
+        members = grouped.join(sent.select("g").distinct(), "g", "left_semi").select("fp", "g", "comp")
         last = stored(_links(sent, members, sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
         roots = connected_components(links.unionByName(last))
     ids = out.where("common is null").select("id", "n", "key", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
