@@ -80,7 +80,7 @@ def test_top_products(spark):
     assert dual_tree.top_products(df.limit(0), F.col("vec_id") % 20 == 0).isEmpty()
     few = spark.createDataFrame([(20, [1.0]), (1, [1.0]), (20, [2.0])], "vec_id long, embedding array<float>")
     # Rows that repeat an id are queries each, and each other's candidates.
-    assert sorted(tuple(r) for r in dual_tree.top_products(few, F.col("vec_id") == 20, 5).collect()) == sorted([(20, 1, 20, 8192), (20, 2, 1, 4096), (20, 1, 20, 8192), (20, 2, 1, 8192)])
+    assert sorted(tuple(r) for r in dual_tree.top_products(few, F.col("vec_id") == 20, 5).collect()) == sorted([(20, 1, 20, 8192), (20, 2, 1, 4096), (20, 1, 1, 8192), (20, 2, 20, 8192)])
 
 
 def test_cover_tree_prunes():
