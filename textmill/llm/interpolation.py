@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from textmill.llm._common import hashed_words, mixed, slices_by_bytes, stored
 
-BLOCK_BYTES = 10 << 20
-RANGE = 1_500_000  # entries that a range's task gets, about
+BLOCK_BYTES = 6 << 20
+RANGE = 1_000_000  # entries that a range's task gets, about
 BUCKETS = 40
 ROUNDS = 60
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
