@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,16 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def thinned(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
+    """About four times as many rows as are wanted, by a bound on their hashes, before the smallest are taken.
+
+    For fitting on a bounded sample: else every task would send its own smallest rows.
+    """
+    bits = 1 << 30
+    share = min(1.0, 4.0 * rows / max(1, df.count()))
+    return df.where(F.pmod(F.col(hash_col), F.lit(bits)) < int(share * bits) + 1)
+
+
 # ---------------------------------------------------------------------------------------------
 # Vectorised words. A word's hash is a polynomial modulo 2**64 over random byte values, made
 # comparable between positions by the inverse power of its start, then mixed.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import slices_by_bytes
+from textmill.llm._common import slices_by_bytes, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -311,7 +311,7 @@ def masked(text: str, spans: list[Span]) -> str:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> SkipChainCRF:
     """Trains on a bounded sample: documents with a digit or an at sign, those with the smallest hashes of ids."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
-    return SkipChainCRF.fit([r["t"] for r in rows.orderBy("h", "t").limit(sample_docs).collect()])
+    return SkipChainCRF.fit([r["t"] for r in thinned(rows, "h", sample_docs).orderBy("h", "t").limit(sample_docs).collect()])
 
 
 def find(docs: DataFrame, crf: SkipChainCRF, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), mask: bool = False) -> DataFrame:
