@@ -1,6 +1,6 @@
 """The corpus pipeline: stages that each apply one operator to all documents that the stage before kept.
 
-language: documents without a letter, or that no language wins, go. near_duplicates: one document of each
+language: documents without a letter go, and all if nothing is learned. near_duplicates: one document of each
 group of near copies stays. benchmark: documents with a benchmark window go. personal_data: personal data
 are replaced by their kind in brackets. packing: the documents' tokens in windows. All but the last return
 the columns that they got.
@@ -16,10 +16,10 @@ from textmill.llm._common import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that some learned language wins; repeated rows are judged alike."""
+    """Keeps documents with a letter, whose ties go to the first language in order; repeated rows are judged alike."""
     others = tuple(c for c in docs.columns if c != "doc_id")
     judged = language_id.identify(docs, language_id.fit(docs), keep=others)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*docs.columns)
+    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,11 @@ def test_stages(spark):
         pieces[r["doc_id"]] += r["length"]
     assert set(pieces) == set(kept)
     assert corpus_pipeline.run(spark, SF).columns == packing.pack(docs).columns
+
+
+def test_language_keeps_ties(spark):
+    """A clean word that two samples hold alike stays; only texts without a letter go."""
+    rows = [(1, "banana one", "de"), (2, "banana two", "en"), (3, "banana", None), (4, "12 34", None), (6, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs).predict(["banana"])[1] == 0
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 2, 3}
