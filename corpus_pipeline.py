@@ -28,10 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with any window of a benchmark item."""
+    """Drops documents with any window of a benchmark item, by id and text: ids may be null or repeat."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = phrase_index.decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text", F.col("text").isNull()))
+    bad = phrase_index.decontaminate(keyed, items, id_col="_key").where("contaminated").select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

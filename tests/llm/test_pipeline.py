@@ -54,3 +54,13 @@ def test_language_keeps_ties(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language_id.fit(docs).predict(["banana"])[1] == 0
     assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 2, 3}
+
+
+def test_benchmark_keeps_clean_rows_of_an_id(spark):
+    """Null and repeated ids: only the rows whose own text has a window go."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    rows = [(None, "x " + item), (None, "clean one"), (None, None), (5, item), (5, "clean two"), (5, None), (6, "clean one")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.benchmark(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
