@@ -297,6 +297,34 @@ def test_cross_parsing():
     assert parser.predict(["", "123 !", "banana"])[0] == ["und", "und", "a"]
 
 
+def test_every_letter_counts():
+    """Samples of many scripts: no letter of theirs is merged, and sorted keys parse as dense tables do."""
+    rng = random.Random(8)
+    han = [chr(0x4E00 + k) for k in range(900)] + ["\U00020000", "\U00020001"]
+    samples = {"l": "".join(rng.choice("abcdefgh ") for _ in range(900)), "c": "".join(rng.choice("абвгдежз ") for _ in range(900)), "x": "".join(rng.choices(han[:450], k=1500)), "y": "".join(rng.choices(han[450:], k=1500))}
+    texts = [samples["x"][40:60], samples["y"][40:60], "\U00020000\U00020001", "", "abc где", "".join(rng.choices(han, k=200))]
+    parser = language_id.CrossParser(samples)
+    assert parser.predict([samples[x][k : k + 12] for x in samples for k in (0, 500)])[0] == [x for x in samples for _ in range(2)]
+    for cells in (0, 9000, 200_000):
+        other = language_id.CrossParser(samples, cells)
+        assert all((a == b).all() for a, b in zip(parser.parse(texts), other.parse(texts), strict=True))
+    assert other.dense and other.sparse
+
+
+def test_language_sample(spark):
+    """Up to 400 documents a language with equal shares, not only of the texts' heads."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat(repeat('h', 300), repeat(char(97 + id % 7), 1700)) AS text", "'en' AS lang")
+    seen = []
+    keep = language_id.CrossParser.__init__
+    language_id.CrossParser.__init__ = lambda self, samples: seen.append(samples)
+    try:
+        language_id.fit(docs)
+    finally:
+        language_id.CrossParser.__init__ = keep
+    parts = seen[0]["en"].split("\n")
+    assert [len(x) for x in parts] == [100] * 400 and len({x[-1] for x in parts}) == 8 and sum("h" in x for x in parts) < 200
+
+
 def test_language_id(spark):
     sf = "/root/testdata/sf0.001/documents.parquet"
     docs = spark.read.parquet(sf).withColumn("lang_pred", F.lit(1))

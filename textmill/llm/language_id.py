@@ -4,12 +4,13 @@ Per language, a suffix automaton of labelled text accepts exactly the strings th
 parsed greedily into the longest phrases that each automaton accepts (cross parsing); the language that
 needs the fewest phrases per character, normalised by the logarithm of its training length, wins.
 
-The automata are turned into one table: state x character class -> next state, with a flag where a
-phrase ends and the next begins from the root. So all texts of a batch advance together, a character of
-each per step, in vector operations.
+The automata are turned into tables: state x character class -> next state, with a flag where a phrase
+ends and the next begins from the root. So all texts of a batch advance together, a character of each per
+step, in vector operations. A table has the classes of its own language's sample; beyond DENSE_CELLS its
+transitions are sorted keys instead, which give the same states.
 
-Characters become classes: each letter that the samples use often has its own (upper case as lower case),
-other letters share one, all else is one separator, runs of which count once. Phrases end at every
+Characters become classes: each letter of the samples has its own (upper case as lower case), letters that
+no sample has share one, all else is one separator, runs of which count once. Phrases end at every
 SEGMENT characters, so a very long text is parsed in parallel pieces, whole.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,13 @@ SAMPLE_DOCS = 400  # labelled documents per language that the automata learn fro
 SAMPLE_CHARS = 40_000  # characters per language
 MAX_LANGUAGES = 512
 SEGMENT = 1 << 14
-LETTERS = 62  # letters with a class of their own
+DENSE_CELLS = 1 << 25  # cells of all dense tables together
 SEPARATOR, OTHER = 0, 1
 FLAG = 1 << 30
 
 
-def suffix_automaton(codes: bytes, classes: int) -> np.ndarray:
-    """The table of transitions (-1: none) of the automaton that accepts all substrings of codes."""
+def transitions(codes: Iterable[int]) -> list[dict[int, int]]:
+    """By state, the transitions of the automaton that accepts all substrings of codes."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -64,6 +65,15 @@ def suffix_automaton(codes: bytes, classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return moves
+
+
+def suffix_automaton(codes: Iterable[int], classes: int) -> np.ndarray:
+    """The automaton's table of transitions (-1: none)."""
+    return dense(transitions(codes), classes)
+
+
+def dense(moves: list[dict[int, int]], classes: int) -> np.ndarray:
     table = np.full((len(moves), classes), -1, np.int32)
     for s, own in enumerate(moves):
         table[s, list(own)] = list(own.values())
@@ -73,36 +83,51 @@ def suffix_automaton(codes: bytes, classes: int) -> np.ndarray:
 class CrossParser:
     """Learned from (language, text) samples. Languages are sorted, so ties go to the first in order."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], cells: int = DENSE_CELLS):
         self.languages = sorted(samples)
         seen: Counter = Counter()
         for text in samples.values():
-            seen.update(c for c in text.lower() if c.isalpha() and ord(c) < 0x10000)
-        own = {c: k + 2 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self.classes = len(own) + 2
-        self.own = own
+            seen.update(c for c in text.lower() if c.isalpha())
+        self.own = {c: k + 2 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+        self.classes = len(self.own) + 2
         self.lut = self._lut()
+        #: By language, the class in its table of each class; letters that its sample lacks are OTHER.
+        self.local = np.full((len(self.languages), self.classes), OTHER, np.int32)
+        self.local[:, SEPARATOR] = SEPARATOR
+        self.dense, self.sparse = [], []  # numbers of languages; the latter with width, keys, next states, root
         tables, base = [], []
         n = 0
-        for lang in self.languages:
+        for j, lang in enumerate(self.languages):
             codes = self.codes(samples[lang])[0]
             codes = codes[self.single(codes)]
-            table = suffix_automaton(codes.tobytes(), self.classes)
-            root = table[0].copy()
-            root[root < 0] = 0
-            fresh = (root + n) | FLAG  # ends a phrase, starts the next with this character
-            full = np.where(table < 0, fresh[None, :], table + n)
-            full[0] = np.where(table[0] < 0, n | FLAG, table[0] + n)  # a character that the language lacks is a phrase
-            tables.append(full.astype(np.int32))
-            base.append(n)
-            n += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            letters = np.unique(codes[codes > OTHER])
+            width = len(letters) + 2
+            self.local[j, letters] = np.arange(2, width)
+            moves = transitions(self.local[j, codes].tolist())
+            if n + len(moves) * width <= cells:
+                table = dense(moves, width).astype(np.int64)
+                table = np.where(table < 0, -1, table * width + n)  # states are places of rows
+                root = table[0].copy()
+                root[root < 0] = n
+                table = np.where(table < 0, root | FLAG, table)  # ends a phrase, starts the next with this character
+                tables.append(table.astype(np.int32).ravel())
+                base.append(n)
+                self.dense.append(j)
+                n += table.size
+            else:
+                keys = np.array([s * width + c for s, own in enumerate(moves) for c in own], np.int64)
+                after = np.array([x for own in moves for x in own.values()], np.int32)
+                order = np.argsort(keys)
+                root = np.zeros(width, np.int32)
+                root[list(moves[0])] = list(moves[0].values())
+                self.sparse.append((j, width, keys[order], after[order], root | FLAG))
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.base = np.array(base, np.int64)
         #: Bits of a phrase: a place in the language's training text.
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.languages])
 
     def _lut(self) -> np.ndarray:
-        lut = np.full(sys.maxunicode + 1, SEPARATOR, np.uint8)
+        lut = np.full(sys.maxunicode + 1, SEPARATOR, np.min_scalar_type(self.classes))
         for i in range(sys.maxunicode + 1):
             c = chr(i)
             if unicodedata.category(c)[0] == "L":
@@ -126,8 +151,8 @@ class CrossParser:
         """Per text: phrases by language, characters that were parsed, letters."""
         codes, offsets = self.codes(*texts)
         keep = self.single(codes)
-        place = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        letters = np.concatenate([[0], np.cumsum(codes != SEPARATOR)])[offsets]
+        place = _counts(keep, offsets)
+        letters = _counts(codes != SEPARATOR, offsets)
         codes = codes[keep]
         size = np.diff(place)
         lanes = -(-size // SEGMENT)
@@ -139,15 +164,29 @@ class CrossParser:
         text, start, length = text[order], start[order], length[order]
         active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")  # lanes longer than each step
         k = len(self.languages)
-        state = np.repeat(self.base[:, None], len(text), axis=1)
+        state = np.zeros((k, len(text)), np.int64)
+        d = len(self.dense)
+        # Dense languages first.
+        order = [*self.dense, *(x[0] for x in self.sparse)]
+        state[:d] = self.base[:, None]
         count = np.ones((k, len(text)), np.int64)
+        local = self.local[self.dense]
         for t, n in enumerate(active.tolist()):
-            step = self.table[state[:, :n] * self.classes + codes[start[:n] + t]]
-            count[:, :n] += step >> 30
-            state[:, :n] = step & (FLAG - 1)
+            now = codes[start[:n] + t]
+            if d:
+                step = self.table[state[:d, :n] + local[:, now]]
+                count[:d, :n] += step >> 30
+                state[:d, :n] = step & (FLAG - 1)
+            for i, (j, width, keys, after, root) in enumerate(self.sparse, d):
+                c = self.local[j, now]
+                key = state[i, :n] * width + c
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                step = np.where(keys[at] == key, after[at], root[c]) if len(keys) else root[c]
+                count[i, :n] += step >> 30
+                state[i, :n] = step & (FLAG - 1)
         phrases = np.zeros((k, len(texts)))
-        for j in range(k):
-            phrases[j] = np.bincount(text, count[j], len(texts))
+        for i, j in enumerate(order):
+            phrases[j] = np.bincount(text, count[i], len(texts))
         return phrases, size, np.diff(letters)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -166,6 +205,13 @@ class CrossParser:
         return ["und" if x else self.languages[b] for x, b in zip(none, best, strict=True)], score, ranked[0]
 
 
+def _counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags stand before each offset."""
+    total = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=total[1:], dtype=np.int32)
+    return total[offsets].astype(np.int64)
+
+
 def held_out(id_col: str, rest: int = 0):
     """The fold of a document: crc32 of its id as text, modulo 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == rest, F.lit(False))
@@ -175,21 +221,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from a bounded sample of labelled documents that are not held out.
 
     Per language, the sample is the documents with the smallest hashes of their ids, sample_docs at most,
-    each with an equal share of sample_chars; at most MAX_LANGUAGES, the most frequent, are learned.
+    each with an equal share of sample_chars, from a place in its whole text that the id's hash gives; at
+    most MAX_LANGUAGES, the most frequent, are learned.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    share = max(200, 4 * sample_chars // sample_docs)
-    row = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(F.col(text_col), 1, share).alias("t"))
-    # The smallest hashes of each task first, then of all: no task and no row holds more than the bound.
-    parts = labelled.select(F.col(lang_col).cast("string").alias("lang"), row.alias("row"), F.spark_partition_id().alias("part"))
-    common = [r["lang"] for r in parts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    parts = labelled.select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.col(text_col).cast("string").alias("text"))
+    common = {r["lang"]: r["count"] for r in parts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     samples = {}
     # Sampling by a hash bound keeps about twice the documents that are taken.
-    counts = {r["lang"]: r["count"] for r in parts.where(F.col("lang").isin(common)).groupBy("lang").count().collect()}
-    for lang in common:
-        bound = min(1.0, 2.0 * sample_docs / counts[lang])
-        picked = parts.where((F.col("lang") == lang) & (F.pmod(F.col("row.h"), F.lit(1 << 20)) < int(bound * (1 << 20)) + 1)).select("row.h", "row.t").orderBy("h", "t").limit(sample_docs).collect()
-        samples[lang] = "\n".join(r["t"] for r in picked)[:sample_chars]
+    for lang, n in common.items():
+        bound = min(1.0, 2.0 * sample_docs / n)
+        share = max(1, sample_chars // min(sample_docs, n))
+        place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - share, F.lit(0)) + 1).cast("int") + 1
+        picked = parts.where((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 20)) < int(bound * (1 << 20)) + 1)).select("h", F.col("text").substr(place, F.lit(share)).alias("t")).orderBy("h", "t").limit(sample_docs).collect()
+        samples[lang] = "\n".join(r["t"] for r in picked)
     return CrossParser(samples)
 
 
