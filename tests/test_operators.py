@@ -1,9 +1,12 @@
 import math
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import crawl, evaluate, index, matching, scoring, tolerant, vector
+from textmill import queries
+from textmill.operators import crawl, evaluate, index, matching, scoring, summarize, tolerant, vector
 from textmill.operators.expand import expanded
 
 
@@ -147,6 +150,20 @@ def test_crawl(spark):
     assert [r["page_id"] for r in crawl.containing(pages, "needle").collect()] == [3]
 
 
+def test_textrank_knows_every_word(spark, tmp_path):
+    """Words that occur once have vectors too."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(16, 4)).astype("float32")
+    words = [["alpha", "beta"], ["gamma", "delta"], ["epsilon", "zeta"], ["theta", "iota"], ["kappa", "omega"]]
+    raw = [" ".join(s) + "." for s in words]
+    spark.createDataFrame([(1, " ".join(raw))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = {w: vectors[zlib.crc32(w.encode()) % 16] for s in words for w in s}
+    picked = summarize.textrank_pick(words, own, 4)
+    assert picked != summarize.textrank_pick(words, {}, 4)
+    assert queries.textrank_summary(spark, str(tmp_path)).first()["summary"] == ".".join(raw[i] for i in picked)
+
+
 def test_expansion(spark):
     words = spark.createDataFrame([(1, "car")], "query_id long, word string")
     lex = spark.createDataFrame([("car", 0, "hypernym", "motor_vehicle"), ("car", 1, "hyponym", "cab"), ("car", 2, "hypernym", "late"), ("car", 0, "synonym", "auto")], "word string, sense_rank int, relation string, lemma string")

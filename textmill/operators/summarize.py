@@ -5,6 +5,7 @@ Matrices and graphs are one document's, built in an Arrow-batched function over
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -109,6 +110,29 @@ def textrank_summaries(docs: DataFrame, embeddings: DataFrame, max_words: int =
     return _summaries(docs, lambda s: textrank_pick(s, box.value, width))
 
 
+class DealtVectors:
+    """The vectors of all words: a word has the row whose id is its checksum modulo the number of rows."""
+
+    def __init__(self, ids: list[int], rows: np.ndarray, n: int):
+        self.at, self.rows, self.n = {i: k for k, i in enumerate(ids)}, rows, n
+
+    def __contains__(self, word: str) -> bool:
+        return self.n > 0 and zlib.crc32(word.encode()) % self.n in self.at
+
+    def __getitem__(self, word: str) -> np.ndarray:
+        return self.rows[self.at[zlib.crc32(word.encode()) % self.n]]
+
+
+def textrank_dealt(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """table(vec_id, embedding): sent to all tasks, so bounded by its own size, however many words there are."""
+    n, rows = table.count(), table.where("vec_id is not null and embedding is not null").orderBy("vec_id").toArrow()
+    values = rows.column("embedding").combine_chunks()
+    width = len(values[0]) if len(values) else 1
+    vectors = DealtVectors(rows.column("vec_id").to_pylist(), np.asarray(values.flatten(), np.float32).reshape(-1, width), n)
+    box = docs.sparkSession.sparkContext.broadcast(vectors)
+    return _summaries(docs, lambda s: textrank_pick(s, box.value, width))
+
+
 def rouge_scores(summaries: DataFrame, golds: DataFrame) -> DataFrame:
     """(doc_id, rouge1, gold): each summary(doc_id, summary) against its best gold(doc_id, n, text); ties to the first n."""
 

@@ -297,13 +297,8 @@ def lsa_summary(spark, d):
 
 
 def textrank_summary(spark, d):
-    """Word vectors: the embeddings table's, dealt to words by checksum."""
-    docs, e = _docs(spark, d), _t(spark, d, "embeddings").select("vec_id", "embedding")
-    n = e.count()
-    words = summarize.sentence_table(docs).select(F.explode(F.split("clean", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1 and word <> ''")
-    common = words.orderBy(F.desc("n"), "word").limit(50_000)
-    emb = common.withColumn("vec_id", F.crc32(F.col("word").cast("binary")) % n).join(e, "vec_id").select("word", F.col("embedding").alias("vec"))
-    return summarize.textrank_summaries(docs, emb)
+    """Word vectors: the embeddings table's, dealt to all words by checksum."""
+    return summarize.textrank_dealt(_docs(spark, d), _t(spark, d, "embeddings").select("vec_id", "embedding"))
 
 
 def summary_scores(spark, d):
