@@ -150,6 +150,27 @@ def test_crawl(spark):
     assert [r["page_id"] for r in crawl.containing(pages, "needle").collect()] == [3]
 
 
+def test_summaries_of_large_matrices():
+    """Entries and blocks give the sentences that whole matrices give (of rank two at least: else any second vector will do)."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(40)]
+    vectors = {w: rng.normal(size=5) for w in words}
+    for n in (12, 90, 300):
+        for _ in range(8):
+            sentences = [[words[int(i)] for i in rng.zipf(1.5, size=rng.integers(0, 9)) if i < 40] for _ in range(n)]
+            assert summarize.lsa_pick(sentences, 0) == summarize.lsa_pick(sentences)
+            assert summarize.textrank_pick(sentences, vectors, 5, cells=7 * n) == summarize.textrank_pick(sentences, vectors, 5)
+
+
+def test_summaries_rank_whole_documents(spark):
+    rng = np.random.default_rng(3)
+    text = " ".join(f"marker {' '.join(f'w{chr(97 + i)}' for i in rng.integers(0, 26, 5))}." for _ in range(2300))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert summarize.lsa_summaries(docs).first()["summary"].count("marker") == 2
+    table = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "vec_id long, embedding array<float>")
+    assert summarize.textrank_dealt(docs, table).first()["summary"].count("marker") == 2
+
+
 def test_textrank_knows_every_word(spark, tmp_path):
     """Words that occur once have vectors too."""
     rng = np.random.default_rng(4)

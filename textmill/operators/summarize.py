@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as T
 
-MAX_SENTENCES = 2000  # of a document whose matrix is built; longer ones are summarised part by part
+CELLS = 1 << 22  # of a matrix that is built; larger ones are worked with as entries or block by block
 
 
 def sentence_table(docs: DataFrame) -> DataFrame:
@@ -24,7 +24,36 @@ def sentence_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.sentences("text")).alias("sent_no", "raw")).withColumn("clean", T.cleaned(F.col("raw")))
 
 
-def lsa_pick(sentences: list[list[str]]) -> list[int]:
+def leading(times, n: int, apart: list[np.ndarray]) -> np.ndarray:
+    """The leading eigenvector of a symmetric operator, orthogonal to those of apart: Lanczos, reorthogonalised."""
+    most = n - len(apart)
+    v = np.random.default_rng(n).normal(size=n)
+    basis = np.zeros((min(most, 32), n))
+    alpha, beta = [], []
+    for m in range(most):
+        for _ in range(2):
+            for u in (*apart, *([] if not m else [None])):
+                v = v - (basis[:m].T @ (basis[:m] @ v) if u is None else u * (u @ v))
+        size = np.linalg.norm(v)
+        if m:
+            if size <= 1e-13 * top:
+                break
+            beta.append(size)
+        if m == len(basis):
+            basis = np.concatenate([basis, np.zeros((min(m, most - m), n))])
+        basis[m] = v / size
+        v = times(basis[m])
+        alpha.append(basis[m] @ v)
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+        top, s = abs(values).max(), vectors[:, -1]
+        rest = v - alpha[m] * basis[m] - (beta[m - 1] * basis[m - 1] if m else 0)
+        if np.linalg.norm(rest) * abs(s[-1]) <= 1e-12 * top:
+            break
+    best = basis[: len(s)].T @ s
+    return best / np.linalg.norm(best)
+
+
+def lsa_pick(sentences: list[list[str]], cells: int = CELLS) -> list[int]:
     """Two sentence numbers: the strongest in the first right singular vector, then another in the second.
 
     One or two sentences are taken as they are. Words that occur once in the document are left out.
@@ -37,20 +66,34 @@ def lsa_pick(sentences: list[list[str]]) -> list[int]:
     if not words:
         return [0, 1]
     row = {w: i for i, w in enumerate(words)}
+    if len(words) * n > cells:
+        entries = Counter((row[w], j) for j, s in enumerate(sentences) for w in s if w in row)
+        at, of = np.array(list(entries), np.int64).T
+        value = np.array(list(entries.values()), np.float64) * np.log(n / np.bincount(at, minlength=len(words)))[at]
+        if not value.any():
+            return [0, 1]
+        times = lambda x: np.bincount(of, value * np.bincount(at, value * x[of], len(words))[at], n)
+        v = [leading(times, n, [])]
+        if len(words) > 1:
+            v.append(leading(times, n, v))
+        return _two(np.abs(v).round(9))
     m = np.zeros((len(words), n))
     for j, s in enumerate(sentences):
         for w in s:
             if w in row:
                 m[row[w], j] += 1
     m *= np.log(n / (m > 0).sum(axis=1))[:, None]
-    v = np.abs(np.linalg.svd(m, full_matrices=False)[2]).round(9)
+    return _two(np.abs(np.linalg.svd(m, full_matrices=False)[2]).round(9))
+
+
+def _two(v: np.ndarray) -> list[int]:
     first = int(v[0].argmax())
     second = v[1] if len(v) > 1 else v[0]
     order = np.argsort(-second, kind="stable")
     return [first, int(next(i for i in order if i != first))]
 
 
-def textrank_pick(sentences: list[list[str]], vectors: dict[str, np.ndarray], width: int, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> list[int]:
+def textrank_pick(sentences: list[list[str]], vectors: dict[str, np.ndarray], width: int, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, cells: int = CELLS) -> list[int]:
     """Two sentence numbers by PageRank over the cosine graph of mean word vectors; ties to the later text in order."""
     n = len(sentences)
     if n <= 2:
@@ -63,13 +106,24 @@ def textrank_pick(sentences: list[list[str]], vectors: dict[str, np.ndarray], wi
         x[i] /= len(s) + 0.001
     norm = np.linalg.norm(x, axis=1)
     norm[norm == 0] = 1
-    w = np.clip((x / norm[:, None]) @ (x / norm[:, None]).T, 0, None)
-    np.fill_diagonal(w, 0)
-    out = w.sum(axis=1)
+    x /= norm[:, None]
+    size = max(1, cells // n)
+
+    def block(at: int) -> np.ndarray:
+        w = np.clip(x[at : at + size] @ x.T, 0, None)
+        w[np.arange(len(w)), np.arange(at, at + len(w))] = 0
+        return w
+
+    whole = block(0) if size >= n else None
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return whole @ v if whole is not None else np.concatenate([block(at) @ v for at in range(0, n, size)])
+
+    out = times(np.ones(n))
     rank = np.full(n, 1 / n)
     for _ in range(rounds):
         spread = np.where(out > 0, rank / np.where(out > 0, out, 1), 0)
-        new = damping * (w.T @ spread + rank[out == 0].sum() / n) + (1 - damping) / n
+        new = damping * (times(spread) + rank[out == 0].sum() / n) + (1 - damping) / n
         done = np.abs(new - rank).sum() < n * tolerance
         rank = new
         if done:
@@ -86,8 +140,7 @@ def _summaries(docs: DataFrame, pick) -> DataFrame:
             out = []
             for raw, clean in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = [c.split() for c in clean or []]
-                chosen = [k + i for k in range(0, len(words), MAX_SENTENCES) for i in pick(words[k : k + MAX_SENTENCES])]
-                out.append(".".join(raw[i] for i in chosen))
+                out.append(".".join(raw[i] for i in pick(words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "summary"])
 
     raw = T.sentences("text")
