@@ -3,49 +3,57 @@
 language: documents without a letter go, and all if nothing is learned. near_duplicates: one document of each
 group of near copies stays. benchmark: documents with a benchmark window go. personal_data: personal data
 are replaced by their kind in brackets. packing: the documents' tokens in windows. All but the last return
-the columns that they got.
+the columns that they got, whatever their names.
+
+Alike in all stages: an empty table gives an empty one; rows with null ids or repeated ids are judged by their
+own text; null and empty texts have no letter, so they end at the first stage, and later ones would keep them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import jaccard_join, language_id, packing, phrase_index, pii
-from textmill.llm._common import stored
+from textmill.shared import removed, scratch, shared_folder
+
+
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter, whose ties go to the first language in order; repeated rows are judged alike."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    judged = language_id.identify(docs, language_id.fit(docs), keep=others)
-    return judged.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return docs.where(language_id.judged(docs, language_id.fit(docs))["lang_pred"] != "und")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component; all documents without words."""
+    """Keeps the document with the least id of each component, one of rows that repeat an id and a text; all documents without words."""
     return jaccard_join.first_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with any window of a benchmark item, by id and text: ids may be null or repeat."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text", F.col("text").isNull()))
-    bad = phrase_index.decontaminate(keyed, items, id_col="_key").where("contaminated").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    key = F.xxhash64("text", F.col("text").isNull())
+    who = docs.select(F.struct(F.col("doc_id").alias("id"), key.alias("key")).alias("who"), "text")
+    bad = phrase_index.decontaminate(who, items, id_col="who").where("contaminated").select(F.col("who.id").alias("bad_id"), F.col("who.key").alias("bad_key")).distinct()
+    # The key alone would do; the id keeps texts apart that share it by chance.
+    return docs.alias("d").join(bad.alias("b"), (F.xxhash64("d.text", F.col("d.text").isNull()) == F.col("b.bad_key")) & F.col("d.doc_id").eqNullSafe(F.col("b.bad_id")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = pii.find(docs, pii.fit(docs), keep=others, mask=True).withColumnRenamed("_masked", "text")
+    """Masks personal data; n_chars follows the text, and a null text keeps its n_chars."""
+    masked = pii.spans_of(docs, pii.fit(docs), mask=True)
+    out = docs.select(*(masked.alias(c) if c == "text" else _column(c) for c in docs.columns))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+        n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+        out = out.select(*(n.alias(c) if c == "n_chars" else _column(c) for c in docs.columns))
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences, neighbours in id order; null ids first."""
     return packing.pack(docs)
 
 
@@ -56,7 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written and read again; what it stored besides, and its input, are then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        folder = shared_folder(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = folder
     return docs
