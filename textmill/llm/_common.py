@@ -1,75 +1,31 @@
-"""Helpers that the operators of this package share: shared folders and vectorised word hashing."""
+"""Helpers that the operators of this package share: words of whole columns, byte slices, thinned samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below the session's spark.checkpoint.dir.
-
-    Only where that setting is absent (a local session in tests) a folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "textmill-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/textmill-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a frame as Parquet in a shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def thinned(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
-    """About four times as many rows as are wanted, by a bound on their hashes, before the smallest are taken.
+    """About one and a half times as many rows as are wanted, by a bound on their hashes, before the smallest are taken.
 
     For fitting on a bounded sample: else every task would send its own smallest rows.
     """
     bits = 1 << 30
-    share = min(1.0, 4.0 * rows / max(1, df.count()))
+    share = min(1.0, (1.5 * rows + 20) / max(1, df.count()))
     return df.where(F.pmod(F.col(hash_col), F.lit(bits)) < int(share * bits) + 1)
 
 
 # ---------------------------------------------------------------------------------------------
-# Vectorised words. A word's hash is a polynomial modulo 2**64 over random byte values, made
-# comparable between positions by the inverse power of its start, then mixed.
-
-_R = 0x9E3779B97F4A7C15 | 1
-_RI = pow(_R, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept, grown by doubling."""
-    have = _powers.get(str(base))
-    if have is None:
-        have = np.ones(1, np.uint64)
-    while len(have) < n:
-        step = np.uint64(pow(base, len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    _powers[str(base)] = have
-    return have[:n]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mixer of 64-bit values (splitmix64's finaliser)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+# Words. Equal words of a column are found by their bytes; between blocks and tasks a word is known
+# by its BLAKE2b digest, as 64 or 128 bits, so no two words share one by their form.
 
 
 def separators(kind: str) -> np.ndarray:
@@ -86,24 +42,25 @@ def separators(kind: str) -> np.ndarray:
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_separators = {k: separators(k) for k in ("space", "alnum")}
+CHUNK = 1 << 20
 
 
-def _value_tables(kind: str) -> np.ndarray:
-    """Hash value of each byte, A-Z as a-z, 0 for separators."""
-    value = _BYTE[_FOLD].copy()
-    value[separators(kind)] = 0
-    return value
-
-
-_tables = {k: (separators(k), _value_tables(k)) for k in ("space", "alnum")}
-CHUNK = 1 << 20
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mixer of 64-bit values (splitmix64's finaliser)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column (null: empty) and the offsets of its rows."""
-    column = column.cast(pa.large_string())
+    """The bytes of a string or binary column (null: empty) and the offsets of its rows."""
+    if column.type != pa.large_binary():
+        column = column.cast(pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if column.type == pa.large_string() else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -112,82 +69,143 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_words(column: pa.Array, kind: str, spans: bool = False):
-    """Lower-cases A-Z and cuts words: 64-bit hashes of all words and the rows' offsets into them.
+def encoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Byte ranges that lie end to end: the number of each among the distinct ones, and those."""
+    ranges = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    out = ranges.dictionary_encode()
+    return out.indices.to_numpy(), out.dictionary
 
-    With spans, also the byte ranges of the words. Rows are hashed in runs of about a megabyte.
-    """
-    data, offsets = text_bytes(column)
-    sep, value = _tables[kind]
-    n = len(offsets) - 1
-    hashes, starts, ends = [], [], []
-    counts = np.zeros(n, np.int64)
-    at = 0
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of about CHUNK bytes that end where a row or a word does."""
+    at, n = 0, len(data)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-        part = data[offsets[at] : offsets[to]]
-        if len(part):
+        to = min(n, at + CHUNK)
+        if to < n:
+            row = int(offsets[np.searchsorted(offsets, to, "right") - 1])
+            if row > at:
+                to = row
+            else:
+                end = int(offsets[np.searchsorted(offsets, at, "right")])  # of the row that at lies in
+                back = np.flatnonzero(sep[data[at + CHUNK // 2 : to]])
+                if len(back):
+                    to = at + CHUNK // 2 + int(back[-1]) + 1
+                else:
+                    while to < end and not (found := np.flatnonzero(sep[data[to : min(end, to + CHUNK)]])).size:
+                        to = min(end, to + CHUNK)
+                    to = to + int(found[0]) if to < end else end
+        yield at, to
+        at = to
+
+
+class Words:
+    """The lower-cased words (A-Z as a-z) of a column: by word its number among the distinct ones, and rows' offsets."""
+
+    def __init__(self, column: pa.Array, kind: str):
+        data, offsets = text_bytes(column)
+        sep = _separators[kind]
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        numbers, own = [], []
+        for a, b in _pieces(data, offsets, sep):
+            part = _FOLD[data[a:b]]
             inside = ~sep[part]
-            before = np.empty_like(inside)
-            before[0] = False
-            before[1:] = inside[:-1]
-            bounds = offsets[at : to + 1] - offsets[at]
+            low, high = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")  # rows low .. high - 1
+            bounds = np.clip(offsets[low : high + 1] - a, 0, b - a)
             inner = bounds[(bounds > 0) & (bounds < len(part))]
-            before[inner] = False  # words never run from one row into the next
-            first = np.flatnonzero(inside & ~before)
-            after = np.zeros_like(inside)
-            after[:-1] = inside[1:]
-            after[inner - 1] = False
-            last = np.flatnonzero(inside & ~after) + 1
-            total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(value[part] * _power(_R, len(part)), out=total[1:])
-            h = (total[last] - total[first]) * _power(_RI, len(part))[first]
-            hashes.append(mixed(h))
-            counts[at:to] = np.diff(np.searchsorted(first, bounds))
-            if spans:
-                starts.append(first + offsets[at])
-                ends.append(last + offsets[at])
-        at = to
-    none = np.zeros(0, np.uint64)
-    out = np.concatenate([none, *hashes]), np.concatenate([[0], np.cumsum(counts)])
-    if spans:
-        zero = np.zeros(0, np.int64)
-        return *out, np.concatenate([zero, *starts]), np.concatenate([zero, *ends])
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            begins[inner] = inside[inner]  # words never run from one row into the next
+            first = np.flatnonzero(begins)
+            counts[low:high] += np.diff(np.searchsorted(first, bounds))
+            if len(first):
+                letters = np.cumsum(inside)  # letters up to each byte
+                number, distinct = encoded(part[inside], np.append(letters[first] - 1, letters[-1]))
+                numbers.append(number)
+                own.append(distinct)
+        self.rows = np.concatenate([[0], np.cumsum(counts)])
+        if len(own) > 1:
+            again = pa.concat_arrays(own).dictionary_encode()
+            renumbered, at = again.indices.to_numpy(), 0
+            for k, distinct in enumerate(own):
+                numbers[k] = renumbered[at : at + len(distinct)][numbers[k]]
+                at += len(distinct)
+            own = [again.dictionary]
+        self.number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        self.distinct: pa.Array = own[0] if own else pa.array([], pa.large_binary())
+
+    def digests(self) -> np.ndarray:
+        """Two 64-bit values by distinct word."""
+        return digests(self.distinct)
+
+
+SHORT = 16  # bytes of a word that two values hold whole
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """Two 64-bit values by word: of up to SHORT bytes a mixing of these, which keeps them apart, else of its BLAKE2b digest."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    size, data = np.diff(offsets), np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] else np.zeros(0, np.uint8)
+    out = np.zeros((len(words), 2), "<u8")
+    short = np.flatnonzero(size <= SHORT)
+    padded = np.zeros(len(short) * SHORT, np.uint8)
+    n = size[short]
+    padded[ranged(np.arange(len(padded)), np.arange(len(short)) * SHORT, n)] = ranged(data, offsets[:-1][short], n)
+    a, b = padded.view("<u8").reshape(-1, 2).T
+    n = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out[short, 0] = mixed(mixed(a + n) ^ (b * np.uint64(0xD6E8FEB86659FD93)))
+    out[short, 1] = mixed(mixed(b + n) ^ (a * np.uint64(0xC2B2AE3D27D4EB4F)))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = np.frombuffer(blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest(), "<u8")
     return out
 
 
-def word_hash(word: str, kind: str = "space") -> int:
-    """The hash that hashed_words gives this word."""
-    return int(hashed_words(pa.array([word]), kind)[0][0])
+def word_digests(words: list[bytes]) -> np.ndarray:
+    return digests(pa.array(words, pa.large_binary()))
 
 
 def slices_by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
     """Slices of a batch whose text takes about so many bytes; one row at least."""
     if not batch.num_rows:
         return
-    _, offsets = text_bytes(batch.column(column))
-    at = 0
+    text = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(size, done + most, "right")))
         yield batch.slice(at, to - at)
-        at = to
-
-
-def hashed_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, given in ascending order and without overlap; about a megabyte at a time."""
-    out, at = np.zeros(len(starts), np.uint64), 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, "right")))
-        part = data[starts[at] : ends[to - 1]]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _power(_R, len(part)), out=total[1:])
-        a, b = starts[at:to] - starts[at], ends[at:to] - starts[at]
-        out[at:to] = (total[b] - total[a]) * _power(_RI, len(part) + 1)[a]
-        at = to
-    return mixed(out)
+        at, done = to, size[to - 1]
 
 
 def ranged(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The elements of ranges, one range after another."""
     ends = np.cumsum(sizes)
     return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_held: dict = {}
+
+
+def of_stage(make=None, *given):
+    """make(*given), kept in this worker for its tasks of one Spark stage; nothing of an earlier stage stays."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if _held.get("stage", stage) != stage:
+        _held.clear()
+    _held["stage"] = stage
+    if make is None:
+        return None
+    if (make, given) not in _held:
+        _held[make, given] = make(*given)
+    return _held[make, given]
+
+
+def given_back() -> None:
+    """Returns what a task has freed to the system, as the next stage's tasks run in the same workers."""
+    of_stage()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries
+        pass

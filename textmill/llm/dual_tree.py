@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm._common import stored
+from textmill.shared import stored
 
 SAMPLE = 2048  # vectors that the tree is fitted on
 LEAVES = 48

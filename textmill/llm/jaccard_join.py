@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import hashed_words, mixed, ranged, slices_by_bytes, stored
+from textmill.llm._common import Words, given_back, mixed, ranged, slices_by_bytes
+from textmill.shared import stored
 
 SHINGLE = 5
 PERCENT = 80
 ROUNDS = 2
 COMMON_IN_TASK = 3  # documents of a task from which on a token is reported as common
 MAX_COMMON = 200_000  # common tokens that are put last in the order; any choice gives the same result
+MOST_SEEN = 500_000  # entries of what a task remembers to spare work
 BLOCK = 256  # classes of a group that are compared at once
 SENT = 512  # classes that are sent to a block at once
 BUCKET = 2000  # rows that a task of the comparison gets, about
@@ -41,7 +43,8 @@ _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(64)]
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """Per text, the sorted distinct hashes of its word shingles; fewer words than size are one shingle."""
-    words, rows = hashed_words(column, "space")
+    cut = Words(column, "space")
+    words, rows = cut.digests()[:, 0][cut.number], cut.rows
     total = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):
         total += words[k : k + len(total)] * _ODD[k]
@@ -97,12 +100,17 @@ def _classes(rows: DataFrame, size: int) -> DataFrame:
 
         def counted() -> None:
             tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+            if len(often) > MOST_SEEN:  # rare ones go: any choice gives the same result
+                for t in [t for t, c in often.items() if c < 2 * COMMON_IN_TASK]:
+                    del often[t]
             for t, c in zip(tokens[n >= COMMON_IN_TASK].view(np.int64).tolist(), n[n >= COMMON_IN_TASK].tolist(), strict=True):
                 often[t] = often.get(t, 0) + c
 
         for batch in batches:
             kind = batch.column(1).type
             for part in slices_by_bytes(batch, 0):
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 n, fps = [], []
                 for tokens in shingle_sets(part.column(0), size):
                     fp = fingerprint(tokens)
@@ -119,6 +127,7 @@ def _classes(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), none, none], names=["id", "key", "n", "fp", "common", "times"])
         if parts:
             counted()
+        given_back()
         if often:
             none = pa.nulls(len(often), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), none, none, none, pa.array(list(often), pa.int64()), pa.array(list(often.values()), pa.int64())], names=["id", "key", "n", "fp", "common", "times"])
@@ -136,6 +145,8 @@ def _prefixes(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> D
         for batch in batches:
             for part in slices_by_bytes(batch, 0):
                 tokens, fps, sizes = [], [], []
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 for x in shingle_sets(part.column(0), size):
                     fp = fingerprint(x)
                     if not len(x) or fp in seen:
@@ -152,6 +163,7 @@ def _prefixes(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> D
                     fps.append(np.full(n, fp, np.int64))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(sizes))], names=["token", "fp", "n"])
+        given_back()
 
     return rows.select("text").mapInArrow(run, "token long, fp long, n int")
 
@@ -341,10 +353,15 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = stored(_components(docs, id_col, text_col, size, percent, rounds), "components")
     kept = found.where((F.col("n_shingles") == 0) | F.col("first_key").isNull() | (F.col("key") == F.col("first_key")))
-    keyed = docs.withColumn("_key", _key(docs, id_col, text_col))
-    repeated = not kept.where("n_shingles > 0").groupBy("key").count().where("count > 1").isEmpty()
-    out = keyed.join(kept.select(F.col("key").alias("_key")), "_key", "left_semi")
-    if repeated:
+    several = not kept.where("n_shingles > 0").groupBy("key").count().where("count > 1").isEmpty()
+    kept = kept.select(F.col(id_col).alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    same = (_key(docs, id_col, text_col) == kept["kept_key"]) & docs[id_col].eqNullSafe(kept["kept_id"])
+    out = docs.join(kept, same, "left_semi")
+    if several:
+        name = "key"
+        while name in docs.columns:
+            name += "_"
         blank = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-        out = out.where(blank).unionByName(out.where(~blank).dropDuplicates(["_key"]))
-    return out.select(*docs.columns)
+        out = out.withColumn(name, _key(out, id_col, text_col))
+        out = out.where(blank).unionByName(out.where(~blank).dropDuplicates([name])).drop(name)
+    return out

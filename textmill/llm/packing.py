@@ -11,7 +11,8 @@ need no padding and are tried beside it.
 from __future__ import annotations
 
 import base64
-import functools
+import itertools
+import json
 import os
 import zlib
 from collections import deque
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import hashed_ranges, ranged, slices_by_bytes, text_bytes
+from textmill.llm._common import encoded, given_back, of_stage, ranged, slices_by_bytes, text_bytes
 
 DOCUMENT, SENTENCE, ANYWHERE = 0.0, 2.0, 12.0  # penalties of a cut
 OPENING = 8.0  # cost of a sequence besides its padding
@@ -74,8 +75,9 @@ class UnitTokenizer:
     A unit ends before a space that follows a character other than white space. The byte-level pattern has
     no alternative that holds such a pair (a space stands only at a token's start or within white space),
     so the ids of a text are those of its units in a row; a space after white space stays in its unit.
-    Plain units may be encoded from the same vocabulary's ranks, which is faster; units with a bar (the
-    special token's string has some) or with other than Latin letters are left to the tokenizer.
+    Plain units may be encoded from the same vocabulary's ranks, which is faster, if the file's merges are
+    those ranks (same_merges); units with a bar (the special token's string has some) or with other than
+    Latin letters are left to the tokenizer.
     """
 
     def __init__(self, file: str, ranks_file: str | None = None, pattern: str | None = None):
@@ -88,6 +90,7 @@ class UnitTokenizer:
 
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if ranks_file and same_merges(file, ranks):
             self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             self.width = np.zeros(max(ranks.values()) + 1, np.int64)
             self.width[list(ranks.values())] = [len(x) for x in ranks]
@@ -113,12 +116,13 @@ class UnitTokenizer:
         data, offsets = text_bytes(column)
         starts = self.units(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        _, first, which = np.unique(hashed_ranges(data, starts, ends), return_index=True, return_inverse=True)
-        a, n = starts[first], ends[first] - starts[first]
-        odd = np.concatenate([[0], np.cumsum(self.odd[data])])
-        plain = (odd[a + n] == odd[a]) & (data[a] == 0x20) if self.ranks and len(a) else np.zeros(len(a), bool)
+        which, units = encoded(data, np.append(starts, len(data)) if len(starts) else np.zeros(1, np.int64))
+        own, bounds = text_bytes(units)
+        a, n = bounds[:-1], np.diff(bounds)
+        odd = np.concatenate([[0], np.cumsum(self.odd[own])])
+        plain = (odd[a + n] == odd[a]) & (own[a] == 0x20) if self.ranks and len(a) else np.zeros(len(a), bool)
         k = np.flatnonzero(plain)
-        flat = np.array(self.ranks.encode_ordinary(ranged(data, a[k], n[k]).tobytes().decode()) if len(k) else [], np.uint32)
+        flat = np.array(self.ranks.encode_ordinary(ranged(own, a[k], n[k]).tobytes().decode()) if len(k) else [], np.uint32)
         sizes = np.zeros(len(a), np.int64)
         sizes[k] = np.diff(np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(n[k])) + 1, prepend=0) if len(k) else 0
         rest = np.flatnonzero(~plain)
@@ -126,8 +130,8 @@ class UnitTokenizer:
         begin[k] = np.cumsum(sizes[k]) - sizes[k]
         parts, m = [flat], len(flat)
         for at in range(0, len(rest), 512):
-            own = rest[at : at + 512]
-            for i, e in zip(own, self.tokenizer.encode_batch([data[a[i] : a[i] + n[i]].tobytes().decode() for i in own], add_special_tokens=False), strict=True):
+            part = rest[at : at + 512]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([own[a[i] : a[i] + n[i]].tobytes().decode() for i in part], add_special_tokens=False), strict=True):
                 parts.append(np.array(e.ids, np.uint32))
                 begin[i], sizes[i] = m, len(e.ids)
                 m += len(e.ids)
@@ -144,7 +148,23 @@ class UnitTokenizer:
             yield np.concatenate([ids[token[i] : token[i + 1]], end]), after[own][closing[own]] - token[i]
 
 
-@functools.lru_cache(2)
+def same_merges(file: str, ranks: dict[bytes, int]) -> bool:
+    """Whether a byte-level BPE file has these tokens, and merges in the order of the ranks."""
+    with open(file) as f:
+        data = json.load(f)
+    if data["normalizer"] or data["model"]["type"] != "BPE" or data["pre_tokenizer"]["type"] != "ByteLevel":
+        return False
+    # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for characters from U+0100 on.
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
+    special = {t["content"] for t in data["added_tokens"]}
+    vocabulary = {bytes(byte_of[c] for c in t): i for t, i in data["model"]["vocab"].items() if t not in special}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
+    ids = [data["model"]["vocab"][a + b] for a, b in merges]
+    return vocabulary == ranks and all(x < y for x, y in itertools.pairwise(ids)) and len(ids) == sum(len(t) > 1 for t in ranks)
+
+
 def _tokenizer(file: str | None) -> UnitTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if file is None:
@@ -220,7 +240,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizer, packer = _tokenizer(tokenizer_file), Packer(window)
+        tokenizer, packer = of_stage(_tokenizer, tokenizer_file), Packer(window)
         shard = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 
@@ -242,6 +262,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         rows.extend(packer.flush(True))
         if rows:
             yield batch_of(rows)
+        given_back()
 
     frame = docs.select(id_col, docs[text_col].cast("string").alias("_text")).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
     kind = docs.schema[id_col].dataType.simpleString()

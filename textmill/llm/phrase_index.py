@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a table of segments, each the postings of a few megabytes of whole documents: sorted term
-hashes and, per term, its ascending word positions in the segment. No term's postings are ever gathered
+digests (128 bits a word) and, per term, its ascending word positions in the segment. No term's postings are ever gathered
 in one place, so frequent terms need no special care. A phrase is found in a segment by taking the
 positions of its rarest term there, shifting them by the term's place in the phrase, and intersecting
 with the other terms' lists, rarer ones first; most phrases end at a term that the segment lacks.
@@ -16,13 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import hashed_words, slices_by_bytes, stored
+from textmill.llm._common import Words, given_back, slices_by_bytes
+from textmill.shared import stored
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20  # of phrases that are sent to the segments at once
 
-INDEX = "segment long, row_ids array<{id}>, row_starts binary, terms binary, firsts binary, positions binary"
+INDEX = "segment long, row_ids array<{id}>, row_starts binary, terms binary, checks binary, firsts binary, positions binary"
+
+
+def ranked(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of the distinct words, ascending, and by word its place among them."""
+    digest = words.digests()
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return np.ascontiguousarray(digest[order]), place[words.number]
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -34,14 +44,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices_by_bytes(batch, 1, segment_bytes):
-                words, rows = hashed_words(part.column(1), "alnum")
-                order = np.argsort(words, kind="stable")
-                ranked = words[order]
-                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+                words = Words(part.column(1), "alnum")
+                term, number = ranked(words)
+                positions = np.argsort(number, kind="stable").astype("<i4")
+                first = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(term)))])
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                blobs = (rows.astype("<i4"), ranked[first].astype("<u8"), np.append(first, len(words)).astype("<i4"), order.astype("<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["segment", "row_ids", "row_starts", "terms", "firsts", "positions"])
+                blobs = (words.rows.astype("<i4"), term[:, 0], term[:, 1], first.astype("<i4"), positions)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["segment", "row_ids", "row_starts", "terms", "checks", "firsts", "positions"])
                 n += 1
+        given_back()
 
     frame = docs.select(id_col, docs[text_col].cast("string").alias("_text"))
     return frame.mapInArrow(run, INDEX.format(id=docs.schema[id_col].dataType.simpleString()))
@@ -50,12 +61,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class Segment:
     """One segment, opened for the terms of a set of phrases only."""
 
-    def __init__(self, row_starts: bytes, terms: bytes, firsts: bytes, positions: bytes, wanted: np.ndarray):
+    def __init__(self, row_starts: bytes, terms: bytes, checks: bytes, firsts: bytes, positions: bytes, wanted: np.ndarray):
         self.rows = np.frombuffer(row_starts, "<i4").astype(np.int64)
-        have, first = np.frombuffer(terms, "<u8"), np.frombuffer(firsts, "<i4").astype(np.int64)
-        at = np.searchsorted(have, wanted)
+        have, check, first = np.frombuffer(terms, "<u8"), np.frombuffer(checks, "<u8"), np.frombuffer(firsts, "<i4").astype(np.int64)
+        at = np.searchsorted(have, wanted[:, 0])
         there = at < len(have)
-        there[there] = have[at[there]] == wanted[there]
+        there[there] = (have[at[there]] == wanted[there, 0]) & (check[at[there]] == wanted[there, 1])
         at = at[there]
         self.size = np.zeros(len(wanted), np.int64)
         self.size[there] = first[at + 1] - first[at]
@@ -108,13 +119,12 @@ class Segment:
         return anchor
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The stated set of items in blocks of bounded size, one at a time. Null ids or texts take no part."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The stated set of items in blocks of bounded size, one at a time, and their number. Null ids or texts take no part."""
     frame = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     total = frame.select(F.sum(F.octet_length("t") + 16).alias("n")).first()["n"] or 0
     n = -(-total // block_bytes)
-    for k in range(n):
-        yield [(r["i"], r["t"]) for r in (frame.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else frame).collect()]
+    return n, ([(r["i"], r["t"]) for r in (frame.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else frame).collect()] for k in range(n))
 
 
 def windows(block: list[tuple[str, str]], size: int) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -124,8 +134,8 @@ def windows(block: list[tuple[str, str]], size: int) -> tuple[list[str], np.ndar
     """
     ids = sorted({i for i, _ in block})
     number = {i: k for k, i in enumerate(ids)}
-    words, rows = hashed_words(pa.array([t for _, t in block], pa.string()), "alnum")
-    terms, term = np.unique(words, return_inverse=True)
+    words = Words(pa.array([t for _, t in block], pa.string()), "alnum")
+    rows, (terms, term) = words.rows, ranked(words)
     by_length: dict[int, tuple[list, list]] = {}
     for k, (i, _) in enumerate(block):
         own = term[rows[k] : rows[k + 1]]
@@ -138,21 +148,26 @@ def windows(block: list[tuple[str, str]], size: int) -> tuple[list[str], np.ndar
 
 
 def phrase_hits(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per indexed row: id, n_words, the positions hit by any item's window, and the items' ids as strings."""
+    """Per indexed row: id, n_words, the positions hit by any item's window, and the items' ids as strings.
+
+    Several blocks of items are searched one after another, and what each finds is stored, so the driver holds
+    the windows of one block.
+    """
     kind = index.schema["row_ids"].dataType.elementType.simpleString()
     schema = f"segment long, row int, `{id_col}` {kind}, n_words long, hits array<int>, items array<string>"
-    parts = []
-    for block in item_blocks(items, item_id, item_text, block_bytes) if items else ():
-        parts.append(index.mapInArrow(_search(windows(block, window), schema, id_col, kind), schema))
-    if not parts:
-        parts = [index.mapInArrow(_search(([], np.zeros(0, np.uint64), []), schema, id_col, kind), schema)]
-    if len(parts) == 1:
-        return parts[0].drop("segment", "row")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    both = out.groupBy("segment", "row").agg(F.any_value(id_col).alias(id_col), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return both.drop("segment", "row")
+    n, blocks = item_blocks(items, item_id, item_text, block_bytes)
+    if n <= 1:
+        given = windows(next(blocks), window) if n else ([], np.zeros((0, 2), np.uint64), [])
+        return index.mapInArrow(_search(given, schema, id_col, kind), schema).drop("segment", "row")
+    found = None
+    for block in blocks:
+        part = index.mapInArrow(_search(windows(block, window), schema, id_col, kind), schema)
+        part = stored(part.where(F.size("items") > 0).select("segment", "row", "hits", "items"), "hits")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("segment", "row").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    every = index.mapInArrow(_search(([], np.zeros((0, 2), np.uint64), []), schema, id_col, kind), schema).drop("hits", "items")
+    both = every.join(found, ["segment", "row"], "left")
+    return both.select(id_col, "n_words", *(F.coalesce(c, F.array().cast(f"array<{k}>")).alias(c) for c, k in (("hits", "int"), ("items", "string"))))
 
 
 def _search(given, schema: str, id_col: str, kind: str):
@@ -160,7 +175,7 @@ def _search(given, schema: str, id_col: str, kind: str):
         ids, terms, lengths = given
         for batch in batches:
             for k in range(batch.num_rows):
-                blobs = [batch.column(j)[k].as_py() for j in range(2, 6)]
+                blobs = [batch.column(j)[k].as_py() for j in range(2, 7)]
                 segment = Segment(*blobs, terms)
                 n = len(segment.rows) - 1
                 hit, pairs = np.zeros(segment.rows[-1] + 1, bool), []
@@ -177,6 +192,7 @@ def _search(given, schema: str, id_col: str, kind: str):
                 found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, bounds), pa.int32()), pa.array([ids[i] for i in item], pa.string()))
                 number = pa.array(np.full(n, batch.column(0)[k].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([number, pa.array(np.arange(n), pa.int32()), batch.column(1)[k].values, pa.array(np.diff(segment.rows), pa.int64()), hits, found], names=["segment", "row", id_col, "n_words", "hits", "items"])
+        given_back()
 
     return run
 
@@ -186,17 +202,18 @@ def proximity_hits(index: DataFrame, items: DataFrame, span: int, item_id: str =
     kind = index.schema["row_ids"].dataType.elementType.simpleString()
     schema = f"`{id_col}` {kind}, item string, matches long"
     out = index.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        given = [(i, *hashed_words(pa.array([t]), "alnum")[:1]) for i, t in block]
+    for block in item_blocks(items, item_id, item_text, block_bytes)[1]:
 
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            terms = np.unique(np.concatenate([w for _, w in given]))
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            words = Words(pa.array([t for _, t in block], pa.string()), "alnum")
+            terms, number = ranked(words)
+            given = [(i, np.unique(number[a:b])) for (i, _), a, b in zip(block, words.rows[:-1], words.rows[1:], strict=True)]
             for batch in batches:
                 for k in range(batch.num_rows):
-                    segment, ids = Segment(*(batch.column(j)[k].as_py() for j in range(2, 6)), terms), batch.column(1)[k].values
+                    segment, ids = Segment(*(batch.column(j)[k].as_py() for j in range(2, 7)), terms), batch.column(1)[k].values
                     for item, words in given:
                         if len(words):
-                            row, n = np.unique(segment.row_of(segment.near(np.searchsorted(terms, np.unique(words)), span)), return_counts=True)
+                            row, n = np.unique(segment.row_of(segment.near(words, span)), return_counts=True)
                             if len(row):
                                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array([item] * len(row)), pa.array(n, pa.int64())], names=[id_col, "item", "matches"])
 

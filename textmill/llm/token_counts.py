@@ -11,14 +11,18 @@ Others are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from textmill.llm._common import given_back, of_stage, slices_by_bytes
+
+SLICE = 1 << 20  # bytes of texts that are counted together
+RUN = 4096  # chunks that are encoded together
 SPACE = "▁"
 
 
@@ -80,17 +84,35 @@ class ResyncCounter:
         if not self.sound:
             return [len(x) for x in self.encoder.encode(texts, num_threads=1)]
         plans = [self.plan(t) for t in texts]
-        ids = self.encoder.encode([t[a:b] for t, (chunks, _) in zip(texts, plans, strict=True) for a, b in chunks], num_threads=1)
+        # Long texts are counted in runs of chunks; two runs share a chunk, whose tokens are then taken off once.
+        runs = [(k, chunks[at : at + RUN + 1], borders[at : at + RUN]) for k, (chunks, borders) in enumerate(plans) for at in range(0, max(1, len(borders)), RUN)]
+        out, bad, at = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), 0
+        while at < len(runs):
+            to, n = at, 0
+            while to < len(runs) and (to == at or n + len(runs[to][1]) <= RUN):
+                n += len(runs[to][1])
+                to += 1
+            for (k, chunks, _), (tokens, last, wrong) in zip(runs[at:to], self._run(texts, runs[at:to]), strict=True):
+                out[k] += tokens - (last if chunks[-1] != plans[k][0][-1] else 0)
+                bad[k] |= wrong
+            at = to
+        for i in np.flatnonzero(bad):  # cannot be, by the proof; such a text is encoded whole
+            out[i] = len(self.encoder.encode(texts[i]))
+        return out.tolist()
+
+    def _run(self, texts: list[str], runs: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+        """Per run of chunks: its tokens, those of its last chunk from its start on, and whether a border failed."""
+        ids = self.encoder.encode([texts[t][a:b] for t, chunks, _ in runs for a, b in chunks], num_threads=1)
         sizes = np.array([len(x) for x in ids], np.int64)
         first = np.concatenate([[0], np.cumsum(sizes)])  # each chunk's first token among all
         ends = np.cumsum(self.width[np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(first[-1]))])
         begins = np.concatenate([[0], ends])[first[:-1]]  # normalised bytes before each chunk
         left, offsets, follow, k = [], [], [], 0
-        for text, (chunks, borders) in zip(texts, plans, strict=True):
+        for t, chunks, borders in runs:
             for i, border in enumerate(borders):
                 left.append(k + i)
-                offsets.append(self.length(text[chunks[i][0] : border]))
-                follow.append(self.length(text[chunks[i + 1][0] : border]))
+                offsets.append(self.length(texts[t][chunks[i][0] : border]))
+                follow.append(self.length(texts[t][chunks[i + 1][0] : border]))
             k += len(chunks)
         left = np.array(left, np.int64)
         cut, ok = self.border(ends, begins[left] + 3 + np.array(offsets, np.int64))
@@ -101,11 +123,11 @@ class ResyncCounter:
         np.subtract.at(spliced, left + 1, again - first[left + 1])
         bad = np.zeros(len(ids) + 1, bool)
         bad[left] = ~(ok & fine)
-        starts = np.concatenate([[0], np.cumsum([len(c) for c, _ in plans])]).astype(np.int64)[:-1]
-        out = np.add.reduceat(spliced, starts) if len(texts) else spliced[:0]
-        for i in np.flatnonzero(np.logical_or.reduceat(bad, starts)) if bad.any() else ():  # cannot be, by the proof; such a text is encoded whole
-            out[i] = len(self.encoder.encode(texts[i]))
-        return out.tolist()
+        at = 0
+        for _, chunks, _ in runs:
+            to = at + len(chunks)
+            yield int(spliced[at:to].sum()), int(sizes[to - 1]), bool(bad[at:to].any())
+            at = to
 
     @staticmethod
     def border(ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +138,6 @@ class ResyncCounter:
         return i + 1, there
 
 
-@functools.lru_cache(4)
 def _counter(model_file: str | None, chunk: int, overlap: int) -> ResyncCounter:
     if model_file is None:
         import public_tokenizers
@@ -133,14 +154,14 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(model_file, chunk, overlap)
+        counter = of_stage(_counter, model_file, chunk, overlap)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices_by_bytes(batch, 1, SLICE):
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 n = np.array(counter.counts(texts), np.int64)
-                sizes = pa.array([len(x.encode()) for x in texts], pa.int64())
+                sizes = pc.fill_null(pc.cast(pc.binary_length(part.column(1)), pa.int64()), 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+        given_back()
 
     frame = docs.select(id_col, docs[text_col].cast("string").alias("_text"))
     return frame.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

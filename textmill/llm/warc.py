@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import shared_folder, stored
+from textmill.shared import shared_folder, stored
 
 LEAST_REVISIT = 100  # bytes: smaller payloads are written each
 FILE_BYTES = 1 << 30
