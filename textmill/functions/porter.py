@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Irregular forms of the extended algorithm.
@@ -110,11 +110,13 @@ def stem(word: str) -> str:
     return word
 
 
-def stem_table(words: DataFrame, column: str = "token") -> DataFrame:
-    """Rows (token, stem) of the distinct words: the one place where words go through Python."""
+def stemmed_words(words: Column) -> Column:
+    """The stems of an array of words; a batch's distinct words go through Python once."""
 
-    @F.pandas_udf("string")
-    def stems(s: pd.Series) -> pd.Series:
-        return s.map(stem, na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def stems(column: pa.Array) -> pa.Array:
+        own = column.values.cast(pa.string()).dictionary_encode()
+        known = pa.array([None if w is None else stem(w) for w in own.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(column.offsets, known.take(own.indices), mask=column.is_null())
 
-    return words.select(F.col(column).alias("token")).distinct().withColumn("stem", stems("token"))
+    return stems(words)

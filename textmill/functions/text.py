@@ -26,7 +26,7 @@ def treebank_tokens(text: Column | str) -> Column:
         (r"\.\.\.", " ... "),
         (r"([,;:@#$%&?!\[\](){}<>])", " $1 "),
         (r"--", " -- "),
-        (r"\.(?=[\])}>\"']*\s*($|\s+\S))(?=\s*$|\s+)", " . "),
+        (r"(?<!\.)\.(?=[\])}>\"']*\s*($|\s+\S))(?=\s*$|\s+)", " . "),
         (r"([^'])' ", "$1 ' "),
         (r"('s|'m|'d|'ll|'re|'ve|n't)(?= |$)", " $1"),
         (r"\b(can)(not)\b", "$1 $2"),
@@ -52,7 +52,7 @@ def without_stop_words(words: Column, stop: Iterable[str] = STOP_WORDS) -> Colum
 def sentences(text: Column | str) -> Column:
     """Cut after a full stop, exclamation or question mark that white space follows; raw sentences, empty ones left out."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1␟"), "␟"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
 def cleaned(sentence: Column, stop: Iterable[str] = STOP_WORDS) -> Column:

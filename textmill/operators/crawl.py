@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
+from textmill.shared import stored
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -30,28 +29,27 @@ def frontier(pages: DataFrame) -> DataFrame:
 def crawl(pages: DataFrame, seed: str, max_pages: int, word: str | None = None) -> DataFrame:
     """(level, ord, page_id, url, found): breadth first from the seed, each URL once, first in first out, max_pages at most.
 
-    A loop over levels, each a join of the frontier with the stored pages, written to the shared folder.
+    ord counts the pages of a level that are stored. A loop over levels, each a join of the frontier with the
+    stored pages, written to the shared folder.
     """
     spark = pages.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/textmill-shared'}/crawl-{uuid.uuid4().hex}"
     links = page_links(pages)
     found = F.contains("html", F.lit(word)) if word is not None else F.lit(False)
-    level, ready = 0, spark.createDataFrame([(seed, 0)], "url string, ord long")
+    level, ready = 0, spark.createDataFrame([(seed, (0, 0))], "url string, at struct<ord: long, pos: int>")
     visited, got, out = ready.select("url"), 0, None
     while got < max_pages:
-        here = ready.join(pages, "url").groupBy("url").agg(F.min("ord").alias("ord"), F.min_by("page_id", "page_id").alias("page_id"), F.min_by(found, "page_id").alias("found"))
-        rows = here.orderBy("ord").limit(max_pages - got).select(F.lit(level).alias("level"), "ord", "page_id", "url", "found")
-        rows.write.parquet(f"{base}/pages-{level}")
-        rows = spark.read.parquet(f"{base}/pages-{level}")
+        here = ready.join(pages, "url").groupBy("url").agg(F.min("at").alias("at"), F.min("page_id").alias("page_id"), F.min_by(found, "page_id").alias("found"))
+        rows = here.orderBy("at").limit(max_pages - got)
+        # The window orders no more rows than the budget has.
+        rows = rows.select(F.lit(level).alias("level"), (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ord"), "page_id", "url", "found")
+        rows = stored(rows, "pages")
         out = rows if out is None else out.unionByName(rows)
         n = rows.count()
         got += n
         if not n:
             break
-        # The budget bounds a level, so its links are ordered in one window.
         new = rows.select("page_id", "ord").join(links, "page_id").groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("at")).join(visited, "url", "left_anti")
-        new.select("url", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ord")).write.parquet(f"{base}/ready-{level}")
-        ready = spark.read.parquet(f"{base}/ready-{level}")
+        ready = stored(new, "ready")
         visited = visited.unionByName(ready.select("url"))
         level += 1
     return out

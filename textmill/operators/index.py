@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import text as T
-from textmill.functions.porter import stem_table
+from textmill.functions.porter import stemmed_words
 
 
 def tokens(docs: DataFrame, analyzer: Callable[..., Column] = T.tokens) -> DataFrame:
@@ -21,11 +21,12 @@ def tokens(docs: DataFrame, analyzer: Callable[..., Column] = T.tokens) -> DataF
 
 
 def terms_of(docs: DataFrame, stop: Iterable[str] = T.STOP_WORDS, analyzer: Callable[..., Column] = T.tokens, stemmed: bool = False) -> DataFrame:
-    """Kept tokens as terms (doc_id, pos, term); stemmed: distinct tokens are stemmed and joined back."""
-    kept = tokens(docs, analyzer).where(T.is_kept("token", stop))
-    if stemmed:
-        return kept.join(stem_table(kept), "token").select("doc_id", "pos", F.col("stem").alias("term"))
-    return kept.withColumnRenamed("token", "term")
+    """Kept tokens as terms (doc_id, pos, term); stemmed: the words' stems, made beside the words without a shuffle."""
+    if not stemmed:
+        return tokens(docs, analyzer).where(T.is_kept("token", stop)).withColumnRenamed("token", "term")
+    words = docs.select("doc_id", analyzer("text").alias("token")).where("token is not null")
+    both = words.select("doc_id", F.posexplode(F.arrays_zip("token", stemmed_words(F.col("token")).alias("stem"))).alias("pos", "t"))
+    return both.where(T.is_kept("t.token", stop)).select("doc_id", "pos", F.col("t.stem").alias("term"))
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -60,11 +61,16 @@ def limited(docs: DataFrame, n: int, order: tuple[str, ...] = ("doc_id",)) -> Da
     return docs.orderBy(*order).limit(n)
 
 
-def index_lines(posts: DataFrame) -> DataFrame:
-    """One line per term, sorted: term doc tf doc tf ...; the text form of the blocked index."""
-    pairs = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
+def index_lines(posts: DataFrame, block: int | None = None) -> DataFrame:
+    """(term, line): term doc tf doc tf ...; the text form of the blocked index.
+
+    With block, (term, block, line): a line holds the postings of so many ids, so no row grows with a frequent term.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct("doc_id", "tf")))
     flat = F.array_join(F.transform(pairs, lambda p: F.concat_ws(" ", p["doc_id"].cast("string"), p["tf"].cast("string"))), " ")
-    return posts.groupBy("term").agg(F.concat_ws(" ", F.first("term"), flat).alias("line"))
+    if block is None:
+        return posts.groupBy("term").agg(F.concat_ws(" ", F.first("term"), flat).alias("line"))
+    return posts.withColumn("block", F.floor(F.col("doc_id") / block)).groupBy("term", "block").agg(F.concat_ws(" ", F.first("term"), flat).alias("line"))
 
 
 def tiered(posts: DataFrame, threshold: int) -> DataFrame:

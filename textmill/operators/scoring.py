@@ -37,11 +37,9 @@ def build(docs: DataFrame, keep: bool = False, **analysis) -> Index:
     return Index(posts, I.term_stats(posts), lengths, I.corpus_stats(lengths))
 
 
-def query_terms(queries: DataFrame, first: int | None = None, **analysis) -> DataFrame:
-    """queries(query_id, text) to q(query_id, term, qtf); with first, only so many leading tokens count."""
+def query_terms(queries: DataFrame, **analysis) -> DataFrame:
+    """queries(query_id, text) to q(query_id, term, qtf)."""
     terms = I.terms_of(queries.withColumnRenamed("query_id", "doc_id"), **analysis)
-    if first is not None:
-        terms = terms.where(F.col("pos") < first)
     return terms.groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.count("*").alias("qtf"))
 
 
@@ -83,12 +81,15 @@ def bm25(q: DataFrame, index: Index, candidates: DataFrame | None = None, k1: fl
     return scores
 
 
-def top_k(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """ranked(query_id, rank, doc_id, score): best first, ties to the smaller id; with digits on rounded scores."""
+def top_k(scores: DataFrame, k: int, digits: int | None = None, of: str = "doc_id") -> DataFrame:
+    """ranked(query_id, rank, doc_id, score): best first, ties to the smaller id; with digits on rounded scores.
+
+    of: the column of what is ranked, such as category.
+    """
     if digits is not None:
         scores = scores.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), of)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", of, "score")
 
 
 def _probability(smoothing: str, param: float, tf: Column, length: Column) -> Column:
@@ -105,7 +106,12 @@ def language_model(q: DataFrame, candidates: DataFrame, index: Index, smoothing:
     known = q.join(index.terms, "term", "left").crossJoin(sizes).crossJoin(index.stats.select(F.col("total_dl").alias("total")))
     grid = candidates.select("query_id", "doc_id").join(known, "query_id").join(index.postings, ["term", "doc_id"], "left").join(index.doc_len, "doc_id")
     p = F.when(F.col("cf").isNull(), 0.0).otherwise(_probability(smoothing, param, F.coalesce("tf", F.lit(0)), F.col("dl")))
-    return grid.groupBy("query_id", "doc_id").agg(F.product(p).alias("score"))
+    return _multiplied(grid.groupBy("query_id", "doc_id"), p)
+
+
+def _multiplied(grid, p: Column) -> DataFrame:
+    """score: the product; log_score: its decimal logarithm, which doesn't run empty for long queries; null where a factor is 0."""
+    return grid.agg(F.product(p).alias("score"), F.when(F.min(p) > 0, F.sum(F.log10(p))).alias("log_score"))
 
 
 def category_language_model(q: DataFrame, categories: DataFrame, index: Index, smoothing: str = "additive", param: float = 0.1) -> DataFrame:
@@ -117,7 +123,7 @@ def category_language_model(q: DataFrame, categories: DataFrame, index: Index, s
     known = q.join(index.terms, "term", "left").crossJoin(sizes)
     grid = known.crossJoin(lengths).join(counts, ["category", "term"], "left")  # queries' terms by categories, both small sets
     p = F.when(F.col("cf").isNull() | (F.col("length") == 0), 0.0).otherwise(_probability(smoothing, param, F.coalesce("tf", F.lit(0)), F.col("length")))
-    return grid.groupBy("query_id", "category").agg(F.product(p).alias("score"))
+    return _multiplied(grid.groupBy("query_id", "category"), p)
 
 
 def described(ranked: DataFrame, descriptions: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def leading(times, n: int, apart: list[np.ndarray]) -> np.ndarray:
 def lsa_pick(sentences: list[list[str]], cells: int = CELLS) -> list[int]:
     """Two sentence numbers: the strongest in the first right singular vector, then another in the second.
 
-    One or two sentences are taken as they are. Words that occur once in the document are left out.
+    A word's weight in a sentence is its share of the sentence's words, those that occur once in the document left
+    out, times ln(sentences / sentences that have it). One or two sentences are taken as they are.
     """
     n = len(sentences)
     if n <= 2:
@@ -69,7 +70,8 @@ def lsa_pick(sentences: list[list[str]], cells: int = CELLS) -> list[int]:
     if len(words) * n > cells:
         entries = Counter((row[w], j) for j, s in enumerate(sentences) for w in s if w in row)
         at, of = np.array(list(entries), np.int64).T
-        value = np.array(list(entries.values()), np.float64) * np.log(n / np.bincount(at, minlength=len(words)))[at]
+        value = np.array(list(entries.values()), np.float64)
+        value = value / np.bincount(of, value, n)[of] * np.log(n / np.bincount(at, minlength=len(words)))[at]
         if not value.any():
             return [0, 1]
         times = lambda x: np.bincount(of, value * np.bincount(at, value * x[of], len(words))[at], n)
@@ -82,7 +84,7 @@ def lsa_pick(sentences: list[list[str]], cells: int = CELLS) -> list[int]:
         for w in s:
             if w in row:
                 m[row[w], j] += 1
-    m *= np.log(n / (m > 0).sum(axis=1))[:, None]
+    m *= np.log(n / (m > 0).sum(axis=1))[:, None] / np.maximum(m.sum(axis=0), 1)
     return _two(np.abs(np.linalg.svd(m, full_matrices=False)[2]).round(9))
 
 
@@ -152,15 +154,23 @@ def lsa_summaries(docs: DataFrame) -> DataFrame:
     return _summaries(docs, lsa_pick)
 
 
-def textrank_summaries(docs: DataFrame, embeddings: DataFrame, max_words: int = 200_000) -> DataFrame:
-    """embeddings(word, vec): of a checked size, sent to all tasks; words without a vector count as zero."""
-    n = embeddings.count()
-    if n > max_words:
-        raise ValueError(f"{n} word vectors; restrict them to the documents' vocabulary (max_words={max_words})")
-    vectors = {r["word"]: np.array(r["vec"], np.float64) for r in embeddings.collect()}
-    width = len(next(iter(vectors.values()))) if vectors else 1
-    box = docs.sparkSession.sparkContext.broadcast(vectors)
-    return _summaries(docs, lambda s: textrank_pick(s, box.value, width))
+def textrank_summaries(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """embeddings(word, vec): joined to each document's words, so no task holds more than its own; words without a vector count as zero."""
+    raw = docs.select("doc_id", T.sentences("text").alias("raw")).withColumn("clean", F.transform("raw", lambda s: T.cleaned(s)))
+    words = raw.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.array_join("clean", " "), " "), lambda w: w != ""))).alias("word"))
+    own = words.join(embeddings.select("word", "vec"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "vec")).alias("vectors"))
+    frame = raw.join(own, "doc_id", "left").select("doc_id", "raw", "clean", "vectors.word", "vectors.vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw, clean, words, vectors in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                own = {w: np.array(v, np.float64) for w, v in zip(words or [], vectors or [], strict=True)}
+                picked = textrank_pick([c.split() for c in clean or []], own, len(next(iter(own.values()), (0,))))
+                out.append(".".join(raw[i] for i in picked))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "summary"])
+
+    return frame.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, summary string")
 
 
 class DealtVectors:

@@ -21,13 +21,25 @@ def wildcard_options(patterns: DataFrame, kgrams: DataFrame, k: int, verify: boo
 def sequential_options(patterns: DataFrame, kgrams: DataFrame, k: int) -> DataFrame:
     """(pattern, word) by the historical fold: grams that no word has are skipped, and an intersection that runs empty starts anew.
 
-    The grams are folded in the pattern's order; a pattern has few, and their word lists are gathered per pattern.
+    The grams are folded in the pattern's order. A word's part in it is how far its grams go on from each place;
+    the furthest of any word shows where an intersection runs empty, so no list of words is gathered.
     """
     grams = patterns.select("pattern").distinct().select("pattern", F.posexplode(F.filter(T.kgrams(F.col("pattern"), k), lambda g: (g != "$") & ~F.contains(g, F.lit("*")))).alias("pos", "gram"))
-    lists = kgrams.groupBy("gram").agg(F.collect_set("word").alias("words"))
-    folded = grams.join(lists, "gram").groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("all"))
-    fold = F.aggregate("all", F.array().cast("array<string>"), lambda acc, x: F.when(F.size(acc) == 0, x["words"]).otherwise(F.array_intersect(acc, x["words"])))
-    return folded.select("pattern", F.explode(fold).alias("word"))
+    there = grams.join(kgrams.select("gram").distinct(), "gram", "left_semi")
+    order = Window.partitionBy("pattern").orderBy("pos")  # a pattern has few grams
+    there = there.select("pattern", "gram", F.row_number().over(order).alias("i"))
+    has = there.join(kgrams.distinct(), "gram").groupBy("pattern", "word").agg(F.array_sort(F.collect_list("i")).alias("own"))
+    n = there.groupBy("pattern").agg(F.max("i").alias("n"))
+    # From each place, the last one up to which the word has all grams; before the place if it lacks that one.
+    places = F.sequence(F.lit(1), F.col("n"))
+    ends = F.transform(places, lambda a: F.aggregate(places, a - 1, lambda end, x: F.when((x == end + 1) & F.array_contains("own", x), x).otherwise(end)))
+    runs = has.join(n, "pattern").withColumn("ends", ends)
+    best = runs.select("pattern", "n", F.posexplode("ends").alias("a", "end")).groupBy("pattern", "n", "a").agg(F.max("end").alias("end"))
+    best = best.groupBy("pattern", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "end"))), lambda s: s["end"]).alias("best"))
+    # The place where the last intersection starts: an intersection that ends at e is empty after e + 1, so the next starts at e + 2.
+    start = F.aggregate(places, F.lit(1), lambda a, x: F.when((a <= F.col("n")) & (F.element_at("best", F.least(a, F.col("n"))) < F.col("n")), F.element_at("best", F.least(a, F.col("n"))) + 2).otherwise(a))
+    starts = best.select("pattern", start.alias("a"))
+    return runs.join(starts, "pattern").where((F.col("a") <= F.col("n")) & (F.element_at("ends", F.least("a", "n")) == F.col("n"))).select("pattern", "word")
 
 
 def repaired(words: DataFrame, vocab: DataFrame, kgrams: DataFrame, k: int) -> DataFrame:

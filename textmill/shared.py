@@ -73,3 +73,20 @@ def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that shared_folder gave."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def put(spark: SparkSession, file: str, text: str) -> None:
+    """Writes a small file of a folder that executors share."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: other ones if the table was written anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)

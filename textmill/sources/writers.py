@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textmill.operators.index import index_lines
 
+BLOCK = 1 << 20
+
 
 def index(tables, path: str) -> None:
     """Index tables as Parquet; postings and terms are sorted by term, so a term reads few row groups."""
@@ -17,8 +19,8 @@ def index(tables, path: str) -> None:
 
 
 def text_index(postings: DataFrame, path: str) -> None:
-    """The line form of the index, sorted by term over all files."""
-    index_lines(postings).orderBy("term").select("line").write.mode("overwrite").text(path)
+    """The line form of the index, sorted by term over all files; a frequent term has a line per BLOCK ids."""
+    index_lines(postings, BLOCK).orderBy("term", "block").select("line").write.mode("overwrite").text(path)
 
 
 def summary_report(scores: DataFrame, path: str) -> None:
