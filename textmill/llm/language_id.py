@@ -35,6 +35,7 @@ from textmill.llm._common import given_back, slices_by_bytes
 SAMPLE_DOCS = 400  # labelled documents per language that the automata learn from
 SAMPLE_CHARS = 40_000  # characters per language
 ALL_CHARS = 20_000_000  # of all languages' samples: with more than 500 languages each has a smaller share
+MOST_SENT = 100_000  # languages up to which their bounds are sent to all tasks
 SEGMENT = 1 << 11
 DENSE_CELLS = 1 << 24  # cells of all dense tables together
 SLICE = 4 << 20  # bytes of text that are parsed together
@@ -278,7 +279,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # Sampling by a hash bound keeps about twice the documents that are taken.
     wanted = [(lang, int(min(1.0, 2.0 * sample_docs / n) * (1 << 20)) + 1, max(1, chars // min(sample_docs, n))) for lang, n in counts.items()]
     bounds = docs.sparkSession.createDataFrame(wanted, "lang string, bound long, share int")
-    near = parts.join(bounds, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("bound"))
+    # A row per language; without the broadcast all texts would be dealt by language.
+    near = parts.join(F.broadcast(bounds) if len(wanted) <= MOST_SENT else bounds, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("bound"))
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - F.col("share"), F.lit(0)) + 1).cast("int") + 1
     near = near.select("lang", "h", F.substr("text", place, F.col("share")).alias("t"))
     picked = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= sample_docs).collect()
