@@ -1,12 +1,15 @@
 """Exact top-k inner products by dual-tree search over a cover tree.
 
-A cover tree is fitted on a bounded sample; every row, query or candidate, is then filed under its nearest
-leaf, and the leaves' covering radii are taken over all rows, so bounds hold for all of them. Queries get
-a first kth score from a block of their own leaf. Then pairs of nodes are descended together: a pair is
-pruned when <a, b> + r_a |b| + r_b |a| + r_a r_b, the most that any of its products can be, is below the
-worst kth score of the query group. Only blocks of the surviving pairs are multiplied.
-
-Leaves hold any number of rows: they are cut into blocks by hash, so no task gathers a whole leaf.
+A cover tree is fitted on a bounded sample, the deeper the more rows there are; every row, query or candidate,
+is then filed under its nearest leaf, and the leaves' covering radii are taken over all rows, so bounds hold for
+all of them. Queries get a first kth score from blocks of the leaves nearest to their own. Then pairs of nodes
+are descended together: a pair is pruned when <a, b> + r_a |b| + r_b |a| + r_a r_b, the most that any of its
+products can be, is below the worst kth score of the query group. Only blocks of the surviving pairs meet, and
+of a block's queries only those whose own bound on the other block reaches their kth score are multiplied.
+
+Leaves hold any number of rows: they are cut into blocks by hash, so no task gathers a whole leaf. Vectors with
+components so large that doubles would round their products stand beside the tree: they meet all blocks, in
+whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -21,19 +24,24 @@ from pyspark.sql import functions as F
 
 from textmill.shared import stored
 
-SAMPLE = 2048  # vectors that the tree is fitted on
-LEAVES = 48
-BLOCK = 4096  # candidates of a leaf that are multiplied at once, about
+SAMPLE = 8192  # vectors that the tree is fitted on
+LEAF_ROWS = 512  # rows of a leaf, about, up to MAX_LEAVES
+MIN_LEAVES, MAX_LEAVES = 16, 1024
+SEEDS = 3  # leaves that first kth scores come from
+BLOCK = 4096  # candidates of a leaf that are multiplied at once, about; fewer in small tables
 QUERY_BLOCK = 1024
-EXACT = float(1 << 52)
+EXACT = float(1 << 52)  # up to here doubles add whole numbers exactly
+LONG = (1 << 63) - 1
+BESIDE = -1  # the leaf of large vectors
 
 
 class CoverTree:
     """Centres by level: each level's centres lie further apart than its scale, half of that above."""
 
-    def __init__(self, sample: np.ndarray, leaves: int = LEAVES):
+    def __init__(self, sample: np.ndarray, leaves: int = MIN_LEAVES):
         self.centre: list[np.ndarray] = []
         self.children: list[list[int]] = []
+        self.leaves: list[int] = []
         if not len(sample):
             return
         chosen = [0]
@@ -70,6 +78,12 @@ class CoverTree:
         best = squares.argmin(axis=1)
         return np.array(self.leaves)[best], np.linalg.norm(rows - centres[best], axis=1)
 
+    def nearest(self, leaf: int, rows: dict[int, int], k: int) -> list[int]:
+        """The k leaves with rows whose centres are nearest to a leaf's, itself first."""
+        there = [x for x in self.leaves if rows.get(x)]
+        far = np.linalg.norm(np.stack([self.centre[x] for x in there]) - self.centre[leaf], axis=1)
+        return [there[i] for i in np.argsort(far, kind="stable")[:k]]
+
     def pairs(self, query_radius: dict[int, float], worst: dict[int, float], radius: dict[int, float]) -> list[tuple[int, int]]:
         """Leaf pairs (query, candidate) that the bounds leave. Leaves without rows are absent from the radii."""
         n = len(self.centre)
@@ -112,109 +126,155 @@ def _vectors(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     for k, i in enumerate(at):
         out[k, : len(rows[i])] = rows[i]
     fine = np.isfinite(out).all(axis=1)
-    return at[fine], np.floor(out[fine] * scale)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(out[fine] * scale)
+    return at[fine], np.where(np.isfinite(scaled), scaled, np.floor(out[fine]) * 1.0)
 
 
 def _top(products: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """Per row, the columns of its k largest values, ties to smaller ids; ids ascend."""
     for row in products:
         if len(row) > k:
-            kth = -np.partition(-row, k - 1)[k - 1]
+            kth = np.partition(row, len(row) - k)[len(row) - k]
             at = np.flatnonzero(row >= kth)
         else:
             at = np.arange(len(row))
-        yield at[np.lexsort((ids[at], -row[at]))][:k]
+        order = np.argsort(row[at], kind="stable")[::-1] if not len(at) else np.lexsort((ids[at], -row[at].astype(np.float64))) if row.dtype == np.float64 else np.array(sorted(range(len(at)), key=lambda j: (-int(row[at[j]]), ids[at[j]])), np.int64)
+        yield at[order][:k]
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """Doubles without a fraction as Python's integers."""
+    return np.array([[int(x) for x in r] for r in rows], object).reshape(rows.shape)
+
+
+def _long_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products, those beyond 64 bits as the least or largest long."""
+    out = _whole(q) @ _whole(c).T
+    return np.array([[max(-LONG, min(LONG, int(x))) for x in r] for r in out], np.int64).reshape(len(q), len(c))
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, leaves: int = LEAVES, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, leaves: int | None = None, block: int | None = None, query_block: int = QUERY_BLOCK, report: dict | None = None) -> DataFrame:
     """Per query the k best other rows: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     Components are floor(scale * x). Vectors that are null, or hold null or non-finite components, and rows
     without an id take no part; short vectors count as filled up with zeros. A query's own row is no
-    candidate, but another row with its id is. Scores are exact: sums beyond 2**52 are refused.
+    candidate, but another row with its id is. Scores are exact; one beyond 64 bits counts as the least or
+    largest long. Other columns, whatever their names, are not read; an empty table gives no rows. report gets
+    the number of pairs of leaves, and of those that the bounds leave.
     """
     spark = vectors.sparkSession
     width = vectors.select(F.max(F.size(vector_col)).alias("n")).first()["n"]
     width = max(1, width or 0)
+    small = np.sqrt(EXACT / width)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = _vectors(batch.column(2), scale)
-            if len(rows) and width * float(np.abs(rows).max()) ** 2 > EXACT:
-                raise ValueError("components are too large for exact scores")
             full = np.zeros((len(rows), width))
             full[:, : rows.shape[1]] = rows
-            blobs = pa.array([r.astype("<i4").tobytes() for r in full], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), blobs], names=["vec_id", "is_query", "v"])
+            large = np.abs(full).max(axis=1, initial=0) > small
+            blobs = pa.array([r.astype("<f8" if x else "<i4").tobytes() for r, x in zip(full, large, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(large), blobs], names=["vec_id", "is_query", "large", "v"])
 
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector_col).cast("array<double>").alias("x")).where("vec_id is not null")
-    raw = raw.mapInArrow(parsed, "vec_id long, is_query boolean, v binary")
+    raw = raw.mapInArrow(parsed, "vec_id long, is_query boolean, large boolean, v binary")
     rows = stored(raw.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    picked = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").collect()
+    n_rows = rows.count()
+    if leaves is None:
+        leaves = min(MAX_LEAVES, max(MIN_LEAVES, n_rows // LEAF_ROWS))
+    if block is None:
+        block = min(BLOCK, max(256, n_rows // 64))
+    picked = rows.where("not large").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").collect()
     tree = CoverTree(np.stack([np.frombuffer(r["v"], "<i4") for r in picked]).astype(np.float64) if picked else np.zeros((0, width)), leaves)
     result = "query_row long, query_id long, vec_id long, score long"
-    if not tree.centre:
+    if not n_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                matrix = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i4").reshape(-1, width)
-                leaf, far = tree.file(matrix.astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32()), pa.array(far)], names=["vec_id", "is_query", "v", "row", "leaf", "far"])
-
-    leafed = stored(rows.select("vec_id", "is_query", "v", "row").mapInArrow(filed, "vec_id long, is_query boolean, v binary, row long, leaf int, far double"), "leaves")
+                large = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                leaf, far = np.full(batch.num_rows, BESIDE), np.zeros(batch.num_rows)
+                if not large.all():
+                    own = batch.column(3).filter(pa.array(~large)).to_pylist()
+                    leaf[~large], far[~large] = tree.file(np.frombuffer(b"".join(own), "<i4").reshape(-1, width).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(leaf, pa.int32()), pa.array(far)], names=["vec_id", "is_query", "v", "row", "leaf", "far"])
+
+    leafed = stored(rows.select("vec_id", "is_query", "large", "v", "row").mapInArrow(filed, "vec_id long, is_query boolean, v binary, row long, leaf int, far double"), "leaves")
     # As many rows as leaves at most.
     about = leafed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.count_if("is_query").alias("n_query"), F.max(F.when(F.col("is_query"), F.col("far"))).alias("query_far")).collect()
-    cuts = {r["leaf"]: max(1, -(-r["n"] // block)) for r in about}
-    query_cuts = {r["leaf"]: max(1, -(-r["n_query"] // query_block)) for r in about}
-
-    def cut(of: dict[int, int]) -> Column:
-        number = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col("leaf")]
-        return F.pmod(F.xxhash64("row"), number).cast("int")
+    sizes = spark.createDataFrame([(r["leaf"], max(1, -(-r["n"] // block)), max(1, -(-r["n_query"] // query_block))) for r in about], "leaf int, cuts int, query_cuts int")
+    leafed = leafed.join(sizes, "leaf").withColumn("cut", F.pmod(F.xxhash64("row"), "cuts").cast("int")).withColumn("query_cut", F.pmod(F.xxhash64("row"), "query_cuts").cast("int"))
 
     def blocked(frame: DataFrame, name: str) -> DataFrame:
         def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["vec_id", "row"])
             blobs = [pdf[c].to_numpy("<i8").tobytes() for c in ("vec_id", "row")]
-            return pd.DataFrame({"leaf": [key[0]], "cut": [key[1]], f"{name}_ids": [blobs[0]], f"{name}_rows": [blobs[1]], f"{name}_v": [b"".join(pdf["v"])]})
+            return pd.DataFrame({"leaf": [key[0]], "cut": [key[1]], f"{name}_ids": [blobs[0]], f"{name}_rows": [blobs[1]], f"{name}_v": [b"".join(pdf["v"])], f"{name}_far": [float(pdf["far"].max())]})
 
-        return frame.groupBy("leaf", "cut").applyInPandas(gather, f"leaf int, cut int, {name}_ids binary, {name}_rows binary, {name}_v binary")
+        return frame.groupBy("leaf", "cut").applyInPandas(gather, f"leaf int, cut int, {name}_ids binary, {name}_rows binary, {name}_v binary, {name}_far double")
 
-    blocks = stored(blocked(leafed.withColumn("cut", cut(cuts)), "c"), "blocks")
-    queries = stored(blocked(leafed.where("is_query").withColumn("cut", cut(query_cuts)), "q"), "queries").withColumnRenamed("leaf", "q_leaf").withColumnRenamed("cut", "q_cut")
+    plain = ("leaf", "cut", "vec_id", "row", "v", "far")
+    blocks = stored(blocked(leafed.select(*plain), "c"), "blocks")
+    asked = leafed.where("is_query").drop("cut").withColumnRenamed("query_cut", "cut")
+    queries = stored(blocked(asked.select(*plain), "q"), "queries").withColumnRenamed("leaf", "q_leaf").withColumnRenamed("cut", "q_cut").drop("q_far")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(leaf: int, data: bytes) -> np.ndarray:
+            return np.frombuffer(data, "<f8" if leaf == BESIDE else "<i4").reshape(-1, width).astype(np.float64)
+
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
                 q_ids, q_rows, c_ids, c_rows = (np.frombuffer(r[x], "<i8") for x in ("q_ids", "q_rows", "c_ids", "c_rows"))
-                q, c = (np.frombuffer(r[x], "<i4").reshape(-1, width).astype(np.float64) for x in ("q_v", "c_v"))
+                q, c = opened(r["q_leaf"], r["q_v"]), opened(r["leaf"], r["c_v"])
+                large = BESIDE in (r["q_leaf"], r["leaf"])
                 least = np.frombuffer(r["least"], "<f8") if r.get("least") else np.full(len(q), -np.inf)
+                if not large:  # of each query by itself: the most that a product with this block can be
+                    most = q @ tree.centre[r["leaf"]] + np.linalg.norm(q, axis=1) * r["c_far"]
+                    may = most + 1e-6 * (1 + np.abs(most)) >= least
+                    q, q_ids, q_rows, least = q[may], q_ids[may], q_rows[may], least[may]
                 out: list[tuple] = []
                 for at in range(0, len(q), 256):
-                    products = q[at : at + 256] @ c.T
-                    products[q_rows[at : at + 256, None] == c_rows[None, :]] = -np.inf
-                    for i, top in enumerate(_top(products, c_ids, k), at):
+                    products = _long_products(q[at : at + 256], c) if large else q[at : at + 256] @ c.T
+                    own = q_rows[at : at + 256, None] == c_rows[None, :]
+                    if large:
+                        others = [np.flatnonzero(~x) for x in own]
+                        tops = (x[next(_top(p[None, x], c_ids[x], k))] for x, p in zip(others, products, strict=True))
+                    else:
+                        products[own] = -np.inf
+                        tops = _top(products, c_ids, k)
+                    for i, top in enumerate(tops, at):
                         score = products[i - at, top]
-                        top = top[(score >= least[i]) & (score > -np.inf)]
+                        fine = (score >= least[i]) if large else (score >= least[i]) & (score > -np.inf)
+                        top = top[fine]
                         out.append((np.full(len(top), q_rows[i]), np.full(len(top), q_ids[i]), c_ids[top], products[i - at, top].astype(np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
-    own = queries.join(blocks.where("cut = 0"), F.col("q_leaf") == F.col("leaf"))
-    first = own.select("q_ids", "q_rows", "q_v", "c_ids", "c_rows", "c_v").mapInArrow(multiply, result)
-    kth = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    least = stored(leafed.where("is_query").select("row", "leaf").withColumn("cut", cut(query_cuts)).join(kth.withColumnRenamed("query_row", "row"), "row", "left"), "least")
+    both = ("q_leaf", "q_ids", "q_rows", "q_v", "leaf", "c_ids", "c_rows", "c_v", "c_far")
+    n_in = {r["leaf"]: r["n"] for r in about}
+    seeds = [(r["leaf"], x) for r in about if r["n_query"] and r["leaf"] != BESIDE for x in tree.nearest(r["leaf"], n_in, SEEDS)]
+    own = queries.join(spark.createDataFrame(seeds, "q_leaf int, leaf int"), "q_leaf").join(blocks.where("cut = 0").drop("cut"), "leaf")
+    first = own.select(*both).mapInArrow(multiply, result)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(F.col("query_row").alias("row"), F.col("score").alias("least"))
+    least = stored(asked.select("row", "leaf", "cut").join(kth, "row", "left"), "least")
     worst = {r["leaf"]: r["w"] for r in least.groupBy("leaf").agg(F.min(F.coalesce("least", F.lit(-np.inf))).alias("w")).collect()}
-    radius = {r["leaf"]: r["far"] for r in about}
-    query_radius = {r["leaf"]: r["query_far"] for r in about if r["n_query"]}
+    radius = {r["leaf"]: r["far"] for r in about if r["leaf"] != BESIDE}
+    query_radius = {r["leaf"]: r["query_far"] for r in about if r["n_query"] and r["leaf"] != BESIDE}
     pairs = tree.pairs(query_radius, worst, radius)
+    if report is not None:
+        report |= {"pairs": len(query_radius) * len(radius), "kept": len(pairs)}
+    if BESIDE in n_in:
+        pairs += [(q, BESIDE) for q in query_radius]
+        pairs += [(BESIDE, c) for c in n_in if worst.get(BESIDE) is not None]
     if not pairs:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def bounds(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
-        return pd.DataFrame({"q_leaf": [key[0]], "q_cut": [key[1]], "bound_rows": [pdf["row"].to_numpy("<i8").tobytes()], "bounds": [pdf["least"].fillna(-np.inf).to_numpy("<f8").tobytes()]})
+        return pd.DataFrame({"q_leaf": [key[0]], "q_cut": [key[1]], "bound_rows": [pdf["row"].to_numpy("<i8").tobytes()], "bounds": [pdf["least"].astype("float64").fillna(-np.inf).to_numpy("<f8").tobytes()]})
 
     bound = least.groupBy("leaf", "cut").applyInPandas(bounds, "q_leaf int, q_cut int, bound_rows binary, bounds binary")
 
@@ -230,7 +290,5 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     wanted = spark.createDataFrame(pairs, "q_leaf int, leaf int")  # at most leaves x leaves rows
     where = F.broadcast(wanted).join(blocks.select("leaf", "cut"), "leaf")
     sent = bounded.join(where, "q_leaf").repartition("leaf", "cut")
-    both = sent.join(blocks, ["leaf", "cut"]).select("q_ids", "q_rows", "q_v", "least", "c_ids", "c_rows", "c_v")
-    found = both.mapInArrow(multiply, result)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    found = sent.join(blocks, ["leaf", "cut"]).select(*both, "least").mapInArrow(multiply, result)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

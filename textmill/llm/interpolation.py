@@ -9,8 +9,7 @@ Texts are kept as blocks of tokens, in numbers of a block's own words. Blocks as
 distinct words and bigrams, sorted by 64-bit digest and cut into digest ranges; a range's task adds up what all
 blocks know of it and answers each. So a word or bigram is one entry per block, however frequent, no count
 table is ever broadcast, and ranges are sized to what was asked. Then blocks ask in the same way for trigrams,
-but only for those that can be other than what the counts of their bigrams tell: of which a bigram is unknown,
-the trigram is, too, and a training token's trigram occurs once if one of its bigrams does.
+but for those with an unknown bigram, which are unknown, too.
 """
 
 from __future__ import annotations
@@ -208,10 +207,10 @@ class Counted(Block):
         self.word_before[self.before == 0] = ends
         self.pair_before = np.concatenate([[ends], self.pair[:-1]])
         self.pair_before[self.before == 0] = ends
-        #: What is known of the trigram's count without asking.
+        #: The trigram's count where it need not be asked for.
         most = np.minimum(self.pair, self.pair_before)
         self.triple = np.where(self.before == 0, self.pair, most)
-        self.unsure = self.counted & (self.before > 0) & (most > np.where(self.trained, 1, 0))
+        self.unsure = self.counted & (self.before > 0) & (most > 0)
 
     def asked(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted digests of the trigrams to ask for, the tokens that they end in, and for each of those its digest's place."""

@@ -2,7 +2,8 @@
 
 Per language, a suffix automaton of labelled text accepts exactly the strings that occur in it. A text is
 parsed greedily into the longest phrases that each automaton accepts (cross parsing); the language that
-needs the fewest phrases per character, normalised by the logarithm of its training length, wins.
+needs the fewest phrases per character, normalised by the logarithm of its training length, wins. A letter
+that a language doesn't know is a phrase, too, and costs a literal besides.
 
 The automata are turned into tables: state x character class -> next state, with the number of phrases that
 end there. So all texts of a batch advance together, a character of each per step, in vector operations. A
@@ -39,6 +40,7 @@ MOST_SENT = 100_000  # languages up to which their bounds are sent to all tasks
 SEGMENT = 1 << 11
 DENSE_CELLS = 1 << 24  # cells of all dense tables together
 SLICE = 4 << 20  # bytes of text that are parsed together
+LITERAL = 20  # bits that a letter costs besides its phrase where a language doesn't know it: it is to be spelled
 SEPARATOR, OTHER = 0, 1
 ENDED = 29  # the bit from which on a table's entry holds how many phrases end
 
@@ -182,8 +184,8 @@ class CrossParser:
             ended[i] = np.where(known, 0, (state[i] > 0).astype(np.int64) + (root[c] == 0))
         return after, ended
 
-    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: phrases by language, characters that were parsed, letters."""
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: phrases by language, characters that were parsed, letters, letters by language that it doesn't know."""
         codes, offsets = self.codes(*texts)
         keep = self.single(codes, offsets)
         place = _counts(keep, offsets)
@@ -236,18 +238,19 @@ class CrossParser:
         phrases = np.zeros((k, len(texts)))
         for i, j in enumerate([*self.dense, *(x[0] for x in self.sparse)]):
             phrases[j] = np.bincount(text, count[i] + open_at_end[i], len(texts))
-        return phrases, size, np.diff(letters)
+        strange = np.stack([np.diff(_counts(own[codes] == OTHER, place)) for own in self.local]) if k else phrases
+        return phrases, size, np.diff(letters), strange
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages (und: no letters), scores and bits per character under the winner.
 
         The score is 1 - best / second of the languages' bits, so 0 is a tie; with one language it is 1.
         """
-        phrases, size, letters = self.parse(texts)
+        phrases, size, letters, strange = self.parse(texts)
         none = (letters == 0) | (not self.languages)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        rate = phrases * self.bits[:, None] / np.maximum(size, 1)
+        rate = (phrases * self.bits[:, None] + strange * LITERAL) / np.maximum(size, 1)
         best = rate.argmin(axis=0)
         ranked = np.sort(rate, axis=0)
         score = np.where(none, 0.0, 1 - ranked[0] / np.maximum(ranked[1], 1e-300) if len(ranked) > 1 else 1.0)

@@ -136,6 +136,7 @@ def windows(block: list[tuple[str, str]], size: int) -> tuple[list[str], np.ndar
     number = {i: k for k, i in enumerate(ids)}
     words = Words(pa.array([t for _, t in block], pa.string()), "alnum")
     rows, (terms, term) = words.rows, ranked(words)
+    term = term.astype(np.int64)  # keys of terms and positions are made of it
     by_length: dict[int, tuple[list, list]] = {}
     for k, (i, _) in enumerate(block):
         own = term[rows[k] : rows[k + 1]]
@@ -207,7 +208,7 @@ def proximity_hits(index: DataFrame, items: DataFrame, span: int, item_id: str =
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             words = Words(pa.array([t for _, t in block], pa.string()), "alnum")
             terms, number = ranked(words)
-            given = [(i, np.unique(number[a:b])) for (i, _), a, b in zip(block, words.rows[:-1], words.rows[1:], strict=True)]
+            given = [(i, np.unique(number[a:b]).astype(np.int64)) for (i, _), a, b in zip(block, words.rows[:-1], words.rows[1:], strict=True)]
             for batch in batches:
                 for k in range(batch.num_rows):
                     segment, ids = Segment(*(batch.column(j)[k].as_py() for j in range(2, 7)), terms), batch.column(1)[k].values
