@@ -635,19 +635,32 @@ def test_connected_components(spark):
 def test_license_scan(spark, docs):
     notice = license_scan.TEMPLATES[1][1]
     extra = [(200, "Under the MIT License. under the mit license\nApache License, Version 2.0 CC BY-NC"), (201, notice), (202, notice.replace("hereby ", "") + " extra"), (203, " ".join(notice.split()[:8])), (204, "under\nthe mit\nlicense"), (205, "underthe mit license cc-by_nc4"), (206, "all rights\nreserved"), (207, "All rights reserved.")]
+    lines = notice.split()
+    extra += [(208, "\n".join(" ".join(lines[k : k + 7]) for k in range(0, len(lines), 7))), (209, " ".join(lines[:10]) + "\n" + "x" * 130 + "\n" + " ".join(lines[10:])), (210, " ".join(lines[:12]) + "\n" + " ".join(lines[12:]) + " " + "y" * 100), (211, "\n".join(lines))]
     df = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(i, t, 1) for i, t in extra], "doc_id long, text string, score int"))
     templates = [(label, set(license_scan._words(t))) for label, t in license_scan.TEMPLATES]
     want = []
+
+    def blocks(text):
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            n = 1
+            while n < license_scan.SPAN and i + n < len(lines) and all(len(x) <= license_scan.WRAP for x in lines[i : i + n + 1]):
+                n += 1
+            yield "\n".join(lines[i : i + n])
+
     for i, t in pairs(df):
         w = alnum_words(t)
         places = [(k, label) for phrase, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
-        found = {label: len(words & set(alnum_words(line))) / len(words) for line in (t or "").split("\n") for label, words in templates if len(words & set(alnum_words(line))) >= math.ceil(0.8 * len(words) - 1e-9)}
-        best = max((len(words & set(alnum_words(line))) / len(words) for line in (t or "").split("\n") for _, words in templates if len(words & set(alnum_words(line))) >= math.ceil(0.8 * len(words) - 1e-9)), default=0.0)
+        found = {label: len(words & set(alnum_words(line))) / len(words) for line in blocks(t or "") for label, words in templates if len(words & set(alnum_words(line))) >= math.ceil(0.8 * len(words) - 1e-9)}
+        best = max((len(words & set(alnum_words(line))) / len(words) for line in blocks(t or "") for _, words in templates if len(words & set(alnum_words(line))) >= math.ceil(0.8 * len(words) - 1e-9)), default=0.0)
         at = [k for k, _ in places]
         base = {label for _, label in places}
         want.append((i, len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), 1.0 if places else best))
     got = [tuple(r) for r in license_scan.scan(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    labels = {r[0]: r[6] for r in got}
+    assert labels[206] == "all-rights-reserved" and labels[208] == "mit" and labels[209] == labels[210] == labels[211] == ""
     assert license_scan.scan(df.limit(0)).isEmpty()
 
 

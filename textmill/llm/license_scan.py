@@ -1,11 +1,11 @@
 """Licence scans: base phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line; a template is the set of words of a notice. A block meets a template when it holds at
-least THRESHOLD of the template's words. Template words are ordered by their document-block frequency over
-the whole corpus, rarest first. A block can only meet a template of n words, of which it needs t, if it
-holds one of the template's first n - t + 1 words (prefix filter), has t template words at all (length
-filter), and enough are left from the first common word on (positional filter). Candidates are verified.
-All of it is DataFrame expressions.
+A block is a line, or a line and up to SPAN - 1 following ones if all of them are short, as hard-wrapped text is;
+a template is the set of words of a notice. A block meets a template when it holds at least THRESHOLD of the
+template's words. Template words are ordered by their document-block frequency over the whole corpus, rarest
+first. A block can only meet a template of n words, of which it needs t, if it holds one of the template's first
+n - t + 1 words (prefix filter), has t template words at all (length filter), and enough are left from the first
+common word on (positional filter). Candidates are verified. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +15,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.shared import stored
+
 THRESHOLD = 0.8
+SPAN = 4  # lines that a wrapped notice may take
+WRAP = 120  # characters of a short line at most
 
 # The phrases whose places are counted, with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -51,32 +55,49 @@ def _spaces(part: Column) -> Column:
     return F.length(part) - F.length(F.replace(part, F.lit(" ")))
 
 
-def _base(lowered: Column, n_words: Column) -> list[Column]:
-    """n_base, first_word, last_word and base_labels (an array) of a lower-cased text."""
-    may = F.contains(lowered, F.lit("license")) | (F.contains(lowered, F.lit("cc")) & F.contains(lowered, F.lit("nc")))
-    norm = F.when(may, F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, _GAP, " ")), F.lit(" "))).otherwise("")
+def _with_base(rows: DataFrame) -> DataFrame:
+    """rows(..., lowered, n_words) with n_base, first_word, last_word and base_labels (an array) in place of lowered."""
+    may = (F.contains("lowered", F.lit("license")) & (F.contains("lowered", F.lit("mit")) | F.contains("lowered", F.lit("apache")))) | (F.contains("lowered", F.lit("cc")) & F.rlike("lowered", F.lit(f"cc{_GAP}by{_GAP}nc")))
+    norm = F.when(may, F.concat(F.lit(" "), F.trim(F.regexp_replace("lowered", _GAP, " ")), F.lit(" "))).otherwise("")
+    kept = [c for c in rows.columns if c != "lowered"]
+    # Each step is a column of its own, so that it is worked out once.
+    split = rows.select(*kept, norm.alias("norm")).select(*kept, *(F.split("norm", f"(?<= ){phrase}(?= )").alias(f"p{k}") for k, (phrase, _) in enumerate(PHRASES)))
     counts, firsts, lasts, labels = [], [], [], []
-    for phrase, label in PHRASES:
-        parts = F.split(norm, f"(?<= ){phrase}(?= )")
-        n = (F.size(parts) - 1).cast("long")
+    for k, (phrase, label) in enumerate(PHRASES):
+        n = (F.size(f"p{k}") - 1).cast("long")
         counts.append(n)
-        firsts.append(F.when(n > 0, _spaces(F.element_at(parts, 1)) - 1))
-        lasts.append(F.when(n > 0, n_words - (_spaces(F.element_at(parts, -1)) - 1) - len(phrase.split())))
+        firsts.append(F.when(n > 0, _spaces(F.element_at(f"p{k}", 1)) - 1))
+        lasts.append(F.when(n > 0, F.col("n_words") - (_spaces(F.element_at(f"p{k}", -1)) - 1) - len(phrase.split())))
         labels.append(F.when(n > 0, F.lit(label)))
     total = counts[0]
     for n in counts[1:]:
         total = total + n
-    return [total.alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base_labels")]
+    return split.select(*kept, total.alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base_labels"))
+
+
+def _blocks(docs: DataFrame, key: list[str], text_col: str, vocabulary: list[str]) -> DataFrame:
+    """Rows (key, block, words): the template words of each line, and of the short lines that follow a short one."""
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    line = F.transform(F.split(text_col, "\n"), lambda x: F.struct((F.length(x) <= WRAP).alias("short"), F.array_intersect(F.split(_lowered(x), _GAP), known).alias("words")))
+    lines = docs.select(*key, line.alias("lines"))
+
+    def joined(x: Column, i: Column) -> Column:
+        words, short = [x["words"]], x["short"]
+        for k in range(1, SPAN):
+            following = F.get("lines", i + k)
+            short = short & F.coalesce(following["short"], F.lit(False))
+            words.append(F.when(short, following["words"]).otherwise(F.array().cast("array<string>")))
+        return F.array_distinct(F.concat(*words))
+
+    return lines.select(*key, F.posexplode(F.transform("lines", joined)).alias("block", "words")).where(F.size("words") > 0)
 
 
 def template_matches(docs: DataFrame, key: list[str], text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (key, block, label, containment): every line of every row that meets a template."""
+    """Rows (key, block, label, containment): every block of every row that meets a template, by its first line."""
     sets = [(label, sorted(set(_words(text)))) for label, text in templates]
     needs = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
     vocabulary = sorted({w for _, words in sets for w in words})
-    lines = docs.select(*key, F.posexplode(F.split(_lowered(F.col(text_col)), "\n")).alias("block", "line"))
-    found = F.array_intersect(F.split("line", _GAP), F.array(*[F.lit(w) for w in vocabulary]))
-    blocks = lines.select(*key, "block", found.alias("words")).where(F.size("words") > 0)
+    blocks = stored(_blocks(docs, key, text_col, vocabulary), "blocks")
     # One row per template word: a bounded table.
     frequency = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
@@ -102,7 +123,7 @@ def template_matches(docs: DataFrame, key: list[str], text_col: str = "text", te
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    The score is the greatest containment of a template in a line, 1 where a base phrase stands, else 0.
+    The score is the greatest containment of a template in a block, 1 where a base phrase stands, else 0.
     Null and empty texts have no words, no labels and score 0. Repeated rows are reported each, with equal
     labels; a null id is kept; other columns are not read.
     """
@@ -111,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     matches = template_matches(rows, ["id", "hash"])
     by_row = matches.groupBy(F.col("id").alias("m_id"), F.col("hash").alias("m_hash")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     base = rows.select("id", "hash", _lowered(F.col("text")).alias("lowered"), F.regexp_count("text", F.lit(_WORD_ANY_CASE)).cast("long").alias("n_words"))
-    base = base.select("id", "hash", "n_words", *_base(F.col("lowered"), F.col("n_words")))
+    base = _with_base(base)
     out = base.join(by_row, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")), "left")
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("found", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))

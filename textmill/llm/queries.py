@@ -111,7 +111,10 @@ p(label, words) AS (VALUES {_PHRASES}),
 b AS (
   SELECT doc_id, label, k FROM d, p, unnest(range(0, len(w) - len(words) + 1)) AS u(k)
   WHERE w[k + 1 : k + len(words)] = words),
-l AS (SELECT doc_id, list_distinct({_WORDS.format("line")}) AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+ln AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
+li AS (SELECT doc_id, ls, i, len(ls[i]) <= {license_scan.WRAP} AS s0, coalesce(len(ls[i + 1]) <= {license_scan.WRAP}, false) AS s1, coalesce(len(ls[i + 2]) <= {license_scan.WRAP}, false) AS s2, coalesce(len(ls[i + 3]) <= {license_scan.WRAP}, false) AS s3 FROM ln, unnest(range(1, len(ls) + 1)) AS u(i)),
+bl AS (SELECT doc_id, array_to_string(ls[i : i + CASE WHEN s0 AND s1 AND s2 AND s3 THEN 3 WHEN s0 AND s1 AND s2 THEN 2 WHEN s0 AND s1 THEN 1 ELSE 0 END], chr(10)) AS block FROM li),
+l AS (SELECT doc_id, list_distinct({_WORDS.format("block")}) AS x FROM bl),
 m AS (
   SELECT doc_id, label, len(list_intersect(x, words)) / len(words) AS c FROM l, t
   WHERE len(list_intersect(x, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
