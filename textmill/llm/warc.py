@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm._common import given_back, slices_by_bytes
 from textmill.shared import shared_folder, stored
 
 LEAST_REVISIT = 100  # bytes: smaller payloads are written each
 FILE_BYTES = 1 << 30
 GAP = 16 << 10  # bytes between two records that one range may still span
 RANGE = 8 << 20
+STRETCH = 4 << 20  # bytes of an archive whose records one task reads
+TASK = 64 << 20  # bytes that a reading task gets, about
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
@@ -84,11 +87,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    # Partial sums by digest: a payload of which there are very many copies is one row per task here.
-    first = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    revisit = F.coalesce(F.col("page_id") > F.col("refers_to"), F.lit(False))
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
+    digests = stored(rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest"), "digests")
+    # Partial sums by digest: a payload of which there are very many copies is one row per task here. Only digests
+    # meet by digest; payloads are joined by id, of which none is frequent, and rows without an id aren't joined.
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = stored(digests.join(first, "digest").where("page_id > refers_to").distinct(), "revisits")
+    found = rows.where("page_id is not null").join(revisits, ["page_id", "digest"], "left")
+    rows = found.select("page_id", "url", "payload", "digest", "refers_to").unionByName(rows.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
+    rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("kind"), "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -96,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         task = TaskContext.get()
         store, base = file_system(folder)
         out, name, n, at = None, "", 0, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_by_bytes(whole, 2)):
             index = []
             for r in batch.to_pylist():
                 if out is None:
@@ -116,6 +122,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*index, strict=True), kinds, strict=True)], names=["file", "offset", "length", "url", "digest", "page_id", "record_type"])
         if out is not None:
             out.close()
+        given_back()
 
     return rows.mapInArrow(run, INDEX)
 
@@ -159,8 +166,12 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
         for f in opened.values():
             f.close()
+        given_back()
 
-    spots = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # Tasks are dealt stretches of the archives, so they read about as many bytes each, however long records are.
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    spots = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("file", "offset")
     return spots.mapInArrow(run, RECORDS)
 
 
