@@ -51,13 +51,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a frame as Parquet in a shared folder and reads it back: cuts lineage, survives lost executors.
+def stored(df: DataFrame, name: str = "table", folder: str | None = None) -> DataFrame:
+    """Writes a frame as Parquet in a shared folder, a new one if none is given, and reads it back.
 
-    The shuffle files of the write are deleted at its end: nothing reads them again.
+    This cuts lineage, and the table survives lost executors. The shuffle files of the write are deleted at its end: nothing reads them again.
     """
     spark = df.sparkSession
-    path, before = f"{shared_folder(spark)}/{name}", spark.conf.get(_CLEANUP, None)
+    path, before = f"{folder or shared_folder(spark)}/{name}", spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
