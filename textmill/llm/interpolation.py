@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm._common import Words, given_back, mixed, slices_by_bytes
-from textmill.shared import stored
+from textmill.shared import removed, scratch, shared_folder, stored
 
 SLICE_BYTES = 6 << 20
 BLOCK_TOKENS = 1 << 20  # longer texts go on in further blocks
@@ -298,18 +298,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """
     id_kind = docs.schema[id_col].dataType.simpleString()
     carried = CARRIED.format(id=id_kind)
-    blocks = stored(_blocks(docs, train, id_col, text_col), "blocks")
-    asked = blocks.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t"), F.bool_or("split").alias("split")).first()
-    ranges = (max(12, -(-(asked["w"] or 0) // RANGE)), max(12, -(-(asked["t"] or 0) // RANGE)))
-    answers = stored(_requests(blocks, ranges).groupBy("kind", "part").applyInPandas(_answer, ANSWERS), "answers")
-    sums = answers.where((F.col("kind") == WORDS) & F.col("block").isNull()).agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
-    model, ends = Model(sums["n"] or 0, sums["v"] or 0), docs.where(train).count()
-    own = answers.where("block is not null").select("block", "kind", "part", "counts")
-    counted = stored(blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_with_counts, f"{carried}, words binary, pairs binary"), "counted")
-    more = stored(_more_requests(counted, ends, ranges[PAIRS]).groupBy("kind", "part").applyInPandas(_answer, ANSWERS), "more")
-    own = more.where("block is not null").select("block", "kind", "part", "counts")
-    joined = counted.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_with_triples(ends), carried.replace(", vocabulary binary", "") + ", words binary, pairs binary, triples binary")
-    joined = stored(joined, "joined")
+    spark = docs.sparkSession
+    home = shared_folder(spark)
+    with scratch(spark):  # the blocks and answers go when the counted blocks are written
+        blocks = stored(_blocks(docs, train, id_col, text_col), "blocks")
+        asked = blocks.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t"), F.bool_or("split").alias("split")).first()
+        ranges = (max(12, -(-(asked["w"] or 0) // RANGE)), max(12, -(-(asked["t"] or 0) // RANGE)))
+        answers = stored(_requests(blocks, ranges).groupBy("kind", "part").applyInPandas(_answer, ANSWERS), "answers")
+        sums = answers.where((F.col("kind") == WORDS) & F.col("block").isNull()).agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
+        model, ends = Model(sums["n"] or 0, sums["v"] or 0), docs.where(train).count()
+        own = answers.where("block is not null").select("block", "kind", "part", "counts")
+        counted = stored(blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_with_counts, f"{carried}, words binary, pairs binary"), "counted", home)
+    with scratch(spark):
+        more = stored(_more_requests(counted, ends, ranges[PAIRS]).groupBy("kind", "part").applyInPandas(_answer, ANSWERS), "more")
+        own = more.where("block is not null").select("block", "kind", "part", "counts")
+        joined = counted.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_with_triples(ends), carried.replace(", vocabulary binary", "") + ", words binary, pairs binary, triples binary")
+        joined = stored(joined, "joined", home)
+    removed(spark, f"{home}/counted")
 
     for order in range(ORDERS):
 
