@@ -9,10 +9,10 @@ few stray tokens don't make a candidate. Only tokens that stand in two prefixes
 Groups: each class is filed under the hub that it shares most prefix tokens with, and is tested against it; a
 token's hub is its least class of about that size. What no hub took in gets another round. Linked classes form a group; classes that their hub didn't take in form
 groups by hub. The matrix holds, per prefix token, the groups that have it. A class is sent to another group if
-it has c prefix tokens in common with it, and to its own if that isn't one component. There its overlap with
-the group's token union bounds that with every member; only groups whose bound reaches the threshold are
-opened. Groups and the classes that are sent to them are cut into blocks, so no task gathers a large group, and
-copies are never paired with each other.
+it has c prefix tokens in common with it, and to its own if that isn't one component. The token union of each
+block of a group is stored; a class's overlap with it bounds that with every member, and only blocks whose bound
+reaches the threshold are opened: only then are their members' sets read. Groups and the classes that are sent to
+them are cut into blocks, so no task gathers a large group, and copies are never paired with each other.
 """
 
 from __future__ import annotations
@@ -217,18 +217,73 @@ def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
     return rows.join(picked, "key", "left_semi").select("text").mapInArrow(run, "fp long, tokens binary").dropDuplicates(["fp"])
 
 
+_BOTH = ("g", "q", "comp", "block", "send", "is_q")
+
+
+def _cut(sent: DataFrame, members: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """What is sent and the members, by keys, in blocks that meet; and into how many buckets to deal them."""
+    counted = sent.groupBy(*keys).agg(F.ceil(F.count("*") / SENT).cast("int").alias("sends")).join(members.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")), keys)
+    cuts = stored(counted, "cuts")
+    left = sent.join(cuts, keys).withColumn("send", F.pmod(F.xxhash64("q"), "sends").cast("int"))
+    if "block" not in keys:
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = members.join(cuts, keys).select(*(c for c in members.columns), *([] if "block" in keys else [F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block")]), "sends")
+    total = cuts.agg(F.sum(F.col("sends") * F.col("blocks"))).first()[0] or 0
+    return left, right, max(8, -(-2 * total // BUCKET), -(-left.count() // BUCKET))
+
+
+def _dealt(both: DataFrame, n: int) -> DataFrame:
+    return both.withColumn("bucket", F.pmod(F.xxhash64("g", F.col("block").cast("long"), F.col("send").cast("long")), F.lit(n)))
+
+
+def _opened(sent: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (q, g, comp, block): the blocks of groups whose token union holds enough of a class that is sent to the group.
+
+    sent: (q, g, comp) with q's component; members: (fp, g, comp). A block's union is stored, and only unions
+    and what is sent meet here: the members' sets stay where they are.
+    """
+    left, right, n = _cut(sent, members, ["g"], BLOCK)
+    right = right.join(sets, "fp")
+
+    def united(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (g, block), own in pdf.groupby(["g", "block"], sort=False):
+            union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in own["tokens"]]))
+            out.append((g, block, union.tobytes(), int(own["sends"].iloc[0])))
+        return pd.DataFrame(out, columns=["g", "block", "tokens", "sends"])
+
+    parts = F.pmod(F.xxhash64("g", F.col("block").cast("long")), F.lit(n))
+    unions = stored(right.select("g", "block", "tokens", "sends").withColumn("part", parts).groupBy("part").applyInPandas(united, "g long, block int, tokens binary, sends int"), "unions")
+    right = unions.select("g", F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("comp"), "block", F.explode(F.sequence(F.lit(0), F.col("sends") - 1)).alias("send"), F.lit(False).alias("is_q"), "tokens")
+    left = left.withColumn("is_q", F.lit(True)).select(*_BOTH).join(sets.withColumnRenamed("fp", "q"), "q").select(*_BOTH, "tokens")
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (g, block, _), own in pdf.groupby(["g", "block", "send"], sort=False):
+            is_q = own["is_q"].to_numpy(bool)
+            if is_q.all() or not is_q.any():
+                continue
+            union = np.frombuffer(own["tokens"].to_numpy()[~is_q][0], np.uint64)
+            for q, comp, tokens in own.loc[is_q, ["q", "comp", "tokens"]].itertuples(index=False):
+                x = np.frombuffer(tokens, np.uint64)
+                at = np.searchsorted(union, x)
+                at[at == len(union)] = 0
+                if (union[at] == x).sum() >= need(len(x), percent):
+                    out.append((int(q), g, int(comp), block))
+        return pd.DataFrame(out, columns=["q", "g", "comp", "block"])
+
+    return _dealt(left.unionByName(right), n).groupBy("bucket").applyInPandas(bound, "q long, g long, comp long, block int")
+
+
 def _links(sent: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes that are sent to groups, rows (q, fp), as many as join the components that link there.
+    """Links of classes that are sent to blocks of groups, rows (q, fp), as many as join the components that link there.
 
-    sent: (q, g, comp) with q's component; members: (fp, g, comp).
+    sent: (q, g, comp, block) with q's component; members: (fp, g, comp, block).
     """
-    counted = sent.groupBy("g").agg(F.count("*").alias("n_sent")).join(members.groupBy("g").agg(F.count("*").alias("n_members")), "g")
-    cuts = stored(counted.select("g", F.ceil(F.col("n_sent") / SENT).cast("int").alias("sends"), F.ceil(F.col("n_members") / BLOCK).cast("int").alias("blocks")), "cuts")
-    left = sent.join(cuts, "g").select("g", "q", "comp", F.pmod(F.xxhash64("q"), "sends").alias("send"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_q"))
-    right = members.join(cuts, "g").select("g", F.col("fp").alias("q"), "comp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sends").cast("long") - 1)).alias("send"), F.lit(False).alias("is_q"))
+    left, right, n = _cut(sent, members, ["g", "block"], BLOCK)
+    left = left.withColumn("is_q", F.lit(True)).select(*_BOTH)
+    right = right.select("g", F.col("fp").alias("q"), "comp", "block", F.explode(F.sequence(F.lit(0), F.col("sends") - 1)).alias("send"), F.lit(False).alias("is_q"))
     both = left.unionByName(right).join(sets.withColumnRenamed("fp", "q"), "q")
-    total = cuts.agg(F.sum(F.col("sends") * F.col("blocks"))).first()[0] or 0
-    n = max(8, -(-2 * total // BUCKET), -(-sent.count() // BUCKET))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -248,7 +303,7 @@ def _links(sent: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -
                 q = tokens[i]
                 low, high = np.searchsorted(pool, q), np.searchsorted(pool, q, "right")
                 if (high > low).sum() < need(len(q), percent):
-                    continue  # the bound by the group's union
+                    continue
                 common = np.bincount(ranged(owner, low, high - low), minlength=len(inside))
                 linked = np.flatnonzero(100 * common >= percent * (len(q) + sizes - common))
                 apart, first = np.unique(parent[comps[inside[linked]]], return_index=True)
@@ -259,7 +314,7 @@ def _links(sent: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -
                         parent[parent == other] = mine
         return pd.DataFrame(out, columns=["q", "fp"]).astype("int64")
 
-    return both.withColumn("bucket", F.pmod(F.xxhash64("g", F.col("block").cast("long"), "send"), F.lit(n))).groupBy("bucket").applyInPandas(compare, "q long, fp long")
+    return _dealt(both, n).groupBy("bucket").applyInPandas(compare, "q long, fp long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -303,7 +358,8 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if pairs.isEmpty():
             break
         used = pairs.select("g").distinct()
-        found = stored(_links(pairs, used.select(F.col("g").alias("fp"), "g", F.col("g").alias("comp")), sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
+        first = F.lit(0).alias("block")
+        found = stored(_links(pairs.select("q", "g", "comp", first), used.select(F.col("g").alias("fp"), "g", F.col("g").alias("comp"), first), sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
         links = links.unionByName(found)
         filed = filed.unionByName(pairs.select(F.col("q").alias("fp"), F.col("g").alias("hub"), F.lit(k).alias("round")))
         if k + 1 < rounds:
@@ -328,7 +384,11 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = stored(pairs.unionByName(sized.where("several").select(F.col("fp").alias("q"), "g", "comp")), "sent")
     if not sent.isEmpty():
         members = grouped.join(sent.select("g").distinct(), "g", "left_semi").select("fp", "g", "comp")
-        last = stored(_links(sent, members, sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
+        opened = stored(_opened(sent, members, sets, percent), "opened")
+        blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+        placed = members.join(members.groupBy("g").agg(blocks), "g").select("fp", "g", "comp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"))
+        placed = placed.join(opened.select("g", "block").distinct(), ["g", "block"], "left_semi")
+        last = stored(_links(opened, placed, sets, percent).select(F.col("q").alias("a"), F.col("fp").alias("b")), "links")
         roots = connected_components(links.unionByName(last))
     ids = out.where("common is null").select("id", "n", "key", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
     ids = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", "key", F.coalesce("root", "fp").alias("component"))
