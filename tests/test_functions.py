@@ -61,3 +61,17 @@ def test_lsa_and_textrank():
     assert summarize.lsa_pick(sentences)[0] == 3 and len(set(summarize.lsa_pick(sentences))) == 2
     vectors = {"cat": [1.0, 0.0], "dog": [0.9, 0.1], "sea": [0.0, 1.0]}
     assert set(summarize.textrank_pick([["cat"], ["dog"], ["cat", "dog"], ["sea"]], vectors, 2)) <= {0, 1, 2}
+
+
+def test_sentences_keep_every_character(spark):
+    df = spark.createDataFrame([("One\u241ftwo. Three!  Four?\nFive",), ("No end",), (None,), ("A.B. C",)], "t string")
+    assert [r[0] for r in df.select(T.sentences("t")).collect()] == [["One\u241ftwo.", "Three!", "Four?", "Five"], ["No end"], None, ["A.B.", "C"]]
+
+
+def test_relative_links(spark):
+    base = "http://s.org/a/b.html?x=1#top"
+    cases = {"c": "http://s.org/a/c", "../d": "http://s.org/d", "./e/../f": "http://s.org/a/f", "#x": "http://s.org/a/b.html?x=1#x", "?y=2": "http://s.org/a/b.html?y=2", "/g": "http://s.org/g", "//h.org/i": "http://h.org/i", "": base, "mailto:a@b": "mailto:a@b", "c?z=/../q": "http://s.org/a/c?z=/../q"}
+    df = spark.createDataFrame([(base, h) for h in cases], "b string, h string")
+    from pyspark.sql import functions as F
+
+    assert {r["h"]: r["u"] for r in df.select("h", T.resolved_url(F.col("b"), F.col("h")).alias("u")).collect()} == cases

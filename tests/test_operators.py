@@ -198,3 +198,106 @@ def test_index_lengths_and_limit(spark):
     assert {r["line"] for r in index.index_lines(built.postings).collect()} == {"cat 1 2 4 1", "sat 1 1"}
     assert index.limited(docs, 0).isEmpty() and index.limited(docs, 2).count() == 2
     assert vector.id_range(docs, 2, 4).agg(F.collect_set("doc_id")).first()[0] == [0, 1]
+
+
+def plain_lsa(sentences):
+    """Term shares by sentence times ln(n / df), whole decomposition, two strongest sentences."""
+    n = len(sentences)
+    if n <= 2:
+        return list(range(n))
+    everything = [w for s in sentences for w in s]
+    words = sorted({w for w in everything if everything.count(w) > 1})
+    if not words:
+        return [0, 1]
+    a = np.array([[s.count(w) for s in sentences] for w in words], float)
+    for j in range(n):
+        if a[:, j].sum():
+            a[:, j] /= a[:, j].sum()
+    a *= np.array([math.log(n / sum(w in s for s in sentences)) for w in words])[:, None]
+    v = np.abs(np.linalg.svd(a)[2]).round(9)
+    first = int(v[0].argmax())
+    second = v[1].copy()
+    second[first] = -1
+    return [first, int(second.argmax())]
+
+
+def test_lsa_against_plain_matrices():
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(25)]
+    shares = 0
+    for _ in range(150):
+        sentences = [[words[int(i) % 25] for i in rng.zipf(1.4, size=rng.integers(1, 12))] for _ in range(rng.integers(1, 14))]
+        assert summarize.lsa_pick(sentences) == plain_lsa(sentences), sentences
+        shares += len({len(s) for s in sentences}) > 1
+    assert shares > 100  # sentences of different lengths, where shares and counts differ
+
+
+def test_textrank_against_a_linear_system():
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    vectors = {w: rng.normal(size=6) for w in words}
+    seen = 0
+    for _ in range(80):
+        sentences = [[words[i] for i in rng.integers(0, 30, rng.integers(1, 8))] for _ in range(rng.integers(3, 12))]
+        x = np.array([sum(vectors[w] for w in s) / (len(s) + 0.001) for s in sentences])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        w = np.clip(x @ x.T, 0, None)
+        np.fill_diagonal(w, 0)
+        n, out = len(w), w.sum(axis=1)
+        move = np.where(out[:, None] > 0, w / np.where(out > 0, out, 1)[:, None], 1 / n)
+        rank = np.linalg.solve(np.eye(n) - 0.85 * move.T, np.full(n, 0.15 / n))
+        order = np.argsort(-rank)
+        if rank[order[0]] - rank[order[1]] > 1e-4 and rank[order[1]] - rank[order[2]] > 1e-4:
+            seen += 1
+            assert summarize.textrank_pick(sentences, vectors, 6) == order[:2].tolist()
+    assert seen > 40
+
+
+def test_textrank_with_word_vectors(spark):
+    """Joined vectors give what vectors at hand give; documents without sentences have an empty summary."""
+    raw = ["Cats purr loudly.", "Dogs bark.", "Cats and dogs sleep.", "Nothing else happens here."]
+    docs = spark.createDataFrame([(1, " ".join(raw)), (2, ""), (3, "One.")], "doc_id long, text string")
+    rng = np.random.default_rng(1)
+    known = {w: rng.normal(size=3).tolist() for w in ("cats", "purr", "dogs", "bark", "sleep")}
+    table = spark.createDataFrame(list(known.items()), "word string, vec array<double>")
+    got = {r["doc_id"]: r["summary"] for r in summarize.textrank_summaries(docs, table).collect()}
+    words = [["cats", "purr", "loudly"], ["dogs", "bark"], ["cats", "dogs", "sleep"], ["nothing", "else", "happens", "here"]]
+    picked = summarize.textrank_pick(words, {w: np.array(v) for w, v in known.items()}, 3)
+    assert got == {1: ".".join(raw[i] for i in picked), 2: "", 3: "One."}
+
+
+def test_stemmed_terms(spark):
+    from textmill.functions.porter import stem
+
+    docs = spark.createDataFrame([(1, "Running runners ran the races"), (2, None), (3, ""), (4, "races running and running")], "doc_id long, text string")
+    got = {(r["doc_id"], r["pos"], r["term"]) for r in index.terms_of(docs, stemmed=True).collect()}
+    want = {(r["doc_id"], r["pos"], stem(r["term"])) for r in index.terms_of(docs).collect()}
+    assert got == want and (4, 3, "run") in got
+
+
+def test_sequential_fold(spark):
+    """The fold over lists of words in memory, with an intersection that runs empty on the way."""
+    words = ["dolore", "labore", "aliquip", "qui", "quis", "cupidatat", "voluptate", "ab", "cd", "abxx", "zz"]
+    grams = spark.createDataFrame([(f"${w}$"[i : i + 2], w) for w in words for i in range(len(w) + 1)], "gram string, word string")
+    lists = {}
+    for g, w in grams.collect():
+        lists.setdefault(g, set()).add(w)
+    patterns = ["*ore", "*qui*", "*up*ta*", "ab*cd", "abcd*", "zq*ab", "q*zz", "nothing*"]
+    want = set()
+    for p in patterns:
+        acc: set = set()
+        padded = f"${p}$"
+        for g in (padded[i : i + 2] for i in range(len(padded) - 1)):
+            if "*" not in g and g in lists:
+                acc = acc & lists[g] if acc else set(lists[g])
+        want |= {(p, w) for w in acc}
+    got = {tuple(r) for r in tolerant.sequential_options(spark.createDataFrame([(p,) for p in patterns], "pattern string"), grams, 2).collect()}
+    assert got == want
+
+
+def test_index_follows_the_table(spark, tmp_path):
+    """A table that is written anew has a new index."""
+    path = f"{tmp_path}/documents.parquet"
+    for text in ("one two", "three three"):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(path)
+        assert {r["term"] for r in queries.inverted_index(spark, str(tmp_path)).collect()} == set(text.split())
