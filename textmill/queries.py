@@ -440,7 +440,7 @@ def judged_collection(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def opinions(spark, d):
+def topic_opinions(spark, d):
     """A topic per nation with two golds."""
     folder = shared_folder(spark)
     for r in _t(spark, d, "nation").select("n_name").collect():
@@ -712,7 +712,7 @@ SELECT pattern, unnest(list_reduce(lists, lambda acc, x: CASE WHEN len(acc) = 0
     "article_categories": "SELECT lang AS category, count(*) AS docs FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang",
     "category_descriptions": "SELECT DISTINCT lower(source) AS category, 'Texts of ' || source AS description FROM documents WHERE source IS NOT NULL",
     "judged_collection": "SELECT 'document' AS kind, item_id AS id, md5(text) AS value FROM benchmark UNION ALL SELECT 'query', item_id, md5(text) FROM benchmark UNION ALL SELECT 'judgement', doc_id, (doc_id % 9) || ':' || (quality + 1) FROM labels",
-    "opinions": "SELECT topic, 'People like ' || topic || '. People visit ' || topic || '.' AS text, CAST(n AS INTEGER) AS n, 'Gold ' || n || ' of ' || topic || '.' AS gold FROM (SELECT replace(n_name, ' ', '_') AS topic FROM nation), range(1, 3) AS g(n)",
+    "topic_opinions": "SELECT topic, 'People like ' || topic || '. People visit ' || topic || '.' AS text, CAST(n AS INTEGER) AS n, 'Gold ' || n || ' of ' || topic || '.' AS gold FROM (SELECT replace(n_name, ' ', '_') AS topic FROM nation), range(1, 3) AS g(n)",
     "word_vectors": "SELECT 'v' || vec_id AS word, CAST(len(embedding) AS INTEGER) AS width, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 4) AS total FROM embeddings WHERE embedding IS NOT NULL",
     "stored_index": f"WITH {_BASE} SELECT term, doc_id, tf, cf, df, dl FROM p JOIN s USING (term) JOIN l USING (doc_id)",
     "text_index": f"WITH {_BASE} SELECT * FROM p",
