@@ -33,8 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with any window of a benchmark item, by id and text: ids may be null or repeat."""
+    """Drops documents with any window of a benchmark item, by their own text: ids may be null or repeat."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = phrase_index.judged(docs, items)
+    if hit is not None:
+        return docs.where(~hit)
+    # Several blocks of items: these are searched one after another in a stored index.
     key = F.xxhash64("text", F.col("text").isNull())
     who = docs.select(F.struct(F.col("doc_id").alias("id"), key.alias("key")).alias("who"), "text")
     bad = phrase_index.decontaminate(who, items, id_col="who").where("contaminated").select(F.col("who.id").alias("bad_id"), F.col("who.key").alias("bad_key")).distinct()

@@ -2,6 +2,7 @@
 
 import collections
 
+import numpy as np
 import pytest
 
 pytest.importorskip("textmill.llm")
@@ -89,3 +90,35 @@ def test_benchmark_drops(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = {r["doc_id"] for r in phrase_index.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").collect()}
     assert bad and {r["doc_id"] for r in corpus_pipeline.benchmark(spark, docs, SF).collect()} == {r["doc_id"] for r in docs.collect()} - bad
+
+
+def test_benchmark_judges_in_place(spark, monkeypatch):
+    """No index is stored and no row is shuffled; with several blocks of items the stored index gives the same rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = {r["doc_id"] for r in phrase_index.decontaminate(docs, items).where("not contaminated").collect()}
+    hit = phrase_index.judged(docs, items, segment_bytes=1000)  # some segments hold one text
+    assert {r["doc_id"] for r in docs.where(~hit).collect()} == want
+    assert phrase_index.judged(docs, items, block_bytes=200) is None and docs.where(~phrase_index.judged(docs, items.limit(0))).count() == docs.count()
+    with monkeypatch.context() as m:
+        m.setattr(phrase_index, "stored", None)
+        out = corpus_pipeline.benchmark(spark, docs, SF)
+        assert {r["doc_id"] for r in out.collect()} == want
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(phrase_index, "judged", lambda *a: None)
+    assert {r["doc_id"] for r in corpus_pipeline.benchmark(spark, docs, SF).collect()} == want
+
+
+class _Sized:
+    """Stands for the tokenizer: an id a text, and an error if too many bytes come at once."""
+
+    def encode(self, column, end_id):
+        assert sum(len(x) for x in column.to_pylist()) <= 1 << 20
+        return [(np.zeros(1, np.uint32), np.zeros(0, np.int64))] * len(column)
+
+
+def test_packing_encodes_small_slices(spark, monkeypatch):
+    """Of large batches a worker encodes a megabyte of text at a time."""
+    monkeypatch.setattr(packing, "_tokenizer", lambda file: _Sized())
+    docs = spark.range(60).selectExpr("id doc_id", "repeat('words ', 20000) text").coalesce(1)
+    assert corpus_pipeline.pack(spark, docs, SF).count() == 60

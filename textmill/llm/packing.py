@@ -30,6 +30,7 @@ OPENING = 8.0  # cost of a sequence besides its padding
 STEP = 64  # a candidate cut lies within so many tokens of the one before
 BLOCK = 1 << 17  # tokens that are cut together; the last window of a block is open and goes on in the next
 LEAST_POWER = 64
+SLICE = 1 << 20  # bytes of text that are encoded together
 
 
 def best_cuts(places: np.ndarray, penalties: np.ndarray, window: int, final: bool) -> list[int]:
@@ -253,7 +254,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            for part in slices_by_bytes(batch, 1):
+            for part in slices_by_bytes(batch, 1, SLICE):
                 for key, (ids, sentences) in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1), end_id), strict=True):
                     rows.extend(packer.add(key, ids, sentences))
                 if len(rows) >= 4096:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm._common import Words, given_back, slices_by_bytes
@@ -35,6 +35,15 @@ def ranked(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(digest[order]), place[words.number]
 
 
+def postings(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """A segment of these texts: row starts, terms, checks, firsts, positions."""
+    words = Words(column, "alnum")
+    term, number = ranked(words)
+    positions = np.argsort(number, kind="stable").astype("<i4")
+    first = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(term)))])
+    return words.rows.astype("<i4"), np.ascontiguousarray(term[:, 0]), np.ascontiguousarray(term[:, 1]), first.astype("<i4"), positions
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The index's segments (see INDEX), for writing as a table. All words of all rows are in it."""
 
@@ -44,13 +53,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices_by_bytes(batch, 1, segment_bytes):
-                words = Words(part.column(1), "alnum")
-                term, number = ranked(words)
-                positions = np.argsort(number, kind="stable").astype("<i4")
-                first = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(term)))])
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                blobs = (words.rows.astype("<i4"), term[:, 0], term[:, 1], first.astype("<i4"), positions)
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["segment", "row_ids", "row_starts", "terms", "checks", "firsts", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in postings(part.column(1)))], names=["segment", "row_ids", "row_starts", "terms", "checks", "firsts", "positions"])
                 n += 1
         given_back()
 
@@ -198,6 +202,36 @@ def _search(given, schema: str, id_col: str, kind: str):
     return run
 
 
+def judged(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, segment_bytes: int = SEGMENT_BYTES, block_bytes: int = BLOCK_BYTES) -> Column | None:
+    """Whether a text has any window of an item; None if the items take several blocks, whose windows must not lie in memory together.
+
+    Each segment is searched where it is made, and nothing of the index is stored. Each text is judged by
+    itself, whole, so repeated rows get equal answers. No items: nothing is contaminated.
+    """
+    n, blocks = item_blocks(items, item_id, item_text, block_bytes)
+    if not n:
+        return F.lit(False)
+    if n > 1:
+        return None
+    box = docs.sparkSession.sparkContext.broadcast(windows(next(blocks), window)[1:])  # of one block
+
+    @F.arrow_udf("boolean")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        given_back()
+        terms, lengths = box.value
+        for column in columns:
+            bad, at = np.zeros(len(column), bool), 0
+            for part in slices_by_bytes(pa.record_batch([column], ["text"]), 0, segment_bytes):
+                segment = Segment(*postings(part.column(0)), terms)
+                for grams, _ in lengths:
+                    bad[at + segment.row_of(segment.phrases(grams)[1])] = True
+                at += part.num_rows
+            yield pa.array(bad)
+        given_back()
+
+    return run.asNondeterministic()(F.col(text_col).cast("string"))  # so that the planner doesn't run it twice
+
+
 def proximity_hits(index: DataFrame, items: DataFrame, span: int, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (id, item, matches): rows where each of an item's words stands within span words of its rarest one."""
     kind = index.schema["row_ids"].dataType.elementType.simpleString()
