@@ -275,6 +275,26 @@ def test_stemmed_terms(spark):
     assert got == want and (4, 3, "run") in got
 
 
+@pytest.fixture(scope="module")
+def blanks(spark, tmp_path_factory):
+    """Documents without any sentence beside others."""
+    path = str(tmp_path_factory.mktemp("blanks"))
+    spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "One"), (5, "One two. Two three.")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_rouge1_of_blank_documents(spark, blanks):
+    assert {r["doc_id"]: r["rouge1"] for r in queries.rouge1(spark, blanks).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.5}
+
+
+def test_summary_scores_of_blank_documents(spark, blanks):
+    assert {r["doc_id"]: r["rouge1"] for r in queries.summary_scores(spark, blanks).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0}
+
+
+def test_summary_report_of_blank_documents(spark, blanks):
+    assert [tuple(r) for r in queries.summary_report(spark, blanks).select("method", "n", "rouge1").collect()] == [("lead", 5, 0.1)]
+
+
 def test_sequential_fold(spark):
     """The fold over lists of words in memory, with an intersection that runs empty on the way."""
     words = ["dolore", "labore", "aliquip", "qui", "quis", "cupidatat", "voluptate", "ab", "cd", "abxx", "zz"]
