@@ -1,4 +1,5 @@
 import json
+import time
 
 from textmill.operators import index, scoring
 from textmill.plans import engine
@@ -69,6 +70,28 @@ def test_answers(spark):
     assert {(r["query_id"], r["doc_id"]) for r in rows} == {(1, 1)}
 
 
+def test_long_index_lines(spark, tmp_path):
+    """The time of a line grows with its length, not with the square of it."""
+    n = 60000
+    (tmp_path / "line.txt").write_text("term " + " ".join(f"{i} {i % 7}" for i in range(n)) + "\n")
+    began = time.time()
+    total = readers.index_lines(spark, str(tmp_path)).selectExpr("count(*)", "sum(doc_id)", "sum(tf)", "count(distinct term)").first()
+    assert tuple(total) == (n, n * (n - 1) // 2, sum(i % 7 for i in range(n)), 1)
+    assert time.time() - began < 30
+
+
+def test_answers_are_ranked_by_rounded_scores(spark):
+    docs = spark.createDataFrame([(1, "cats"), (2, "cats"), (3, "dogs")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "cats")], "query_id long, text string")
+
+    def scorer(q, tables, candidates=None, best=None):
+        return spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.50000001)], "query_id long, doc_id long, score double")
+
+    for tier in (None, 1):
+        rows = engine.answers(queries, docs, 1, scorer=scorer, tier=tier, digits=6).collect()
+        assert [(r["doc_id"], r["score"]) for r in rows] == [(1, 0.5)]
+
+
 def test_stream(spark, tmp_path):
     docs = spark.createDataFrame([(1, "cat sat cat"), (2, "cat")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))

@@ -79,10 +79,11 @@ def word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def index_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines 'term doc tf doc tf ...' to postings(term, doc_id, tf)."""
-    parts = F.split("value", " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.try_divide(F.size(parts) - 1, F.lit(2)).cast("int")), lambda i: F.struct(F.element_at(parts, 2 * i).cast("long").alias("doc_id"), F.element_at(parts, 2 * i + 1).cast("long").alias("tf")))
-    lines = spark.read.text(path).where(F.size(parts) > 2)
-    return lines.select(parts[0].alias("term"), F.explode(pairs).alias("p")).select("term", "p.doc_id", "p.tf")
+    pairs = F.regexp_extract_all("value", F.lit(r" ([^ ]+ [^ ]+)"), F.lit(1))
+    # The line is cut before its pairs become rows, so no row carries it.
+    lines = spark.read.text(path).select(F.substring_index("value", " ", 1).alias("term"), pairs.alias("pairs"))
+    rows = lines.select("term", F.explode("pairs").alias("pair"))
+    return rows.select("term", F.substring_index("pair", " ", 1).cast("long").alias("doc_id"), F.substring_index("pair", " ", -1).cast("long").alias("tf"))
 
 
 def stored_index(spark: SparkSession, path: str):
