@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill import queries
+from textmill.functions import text as T
 from textmill.operators import crawl, evaluate, index, matching, scoring, summarize, tolerant, vector
 from textmill.operators.expand import expanded
 
@@ -295,6 +296,44 @@ def test_summary_report_of_blank_documents(spark, blanks):
     assert [tuple(r) for r in queries.summary_report(spark, blanks).select("method", "n", "rouge1").collect()] == [("lead", 5, 0.1)]
 
 
+def test_postings_are_counted_within_documents(spark):
+    """No shuffle, as the plan shows; documents that share an id are still one."""
+    docs = spark.createDataFrame([(1, "b a b. The b, aa"), (2, None), (3, ""), (4, "Élan élan ab a")], "doc_id long, text string")
+    got = index.doc_postings(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {("b", 1, 3), ("aa", 1, 1), ("élan", 4, 2), ("ab", 4, 1)}
+    for more in ({"stemmed": True}, {"analyzer": T.treebank_tokens}, {"stop": ("b",)}):
+        assert {tuple(r) for r in index.doc_postings(docs, **more).collect()} == {tuple(r) for r in index.postings(index.terms_of(docs, **more)).collect()}
+    twice = docs.unionByName(spark.createDataFrame([(1, "b " * 50000)], "doc_id long, text string"))
+    assert {tuple(r) for r in index.doc_postings(twice).collect()} == {tuple(r) for r in index.postings(index.terms_of(twice)).collect()}
+    built = scoring.build(twice)
+    assert sorted(tuple(r) for r in built.doc_len.collect()) == [(1, 50004), (1, 50004), (2, 0), (3, 0), (4, 3)]
+
+
+def test_shared_sums_in_blocks(spark, monkeypatch):
+    """Blocks of queries, large documents and pruning give what plain sums give."""
+    from textmill.operators import products
+
+    rng = np.random.default_rng(8)
+    left = {(int(q), f"t{t}"): int(w) for q, t, w in zip(rng.integers(0, 9, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90), strict=True)}
+    right = {(int(d), f"t{t}"): int(x) for d, t, x in zip(rng.integers(0, 40, 900), rng.integers(0, 35, 900), rng.integers(1, 9, 900), strict=True)}
+    want = {}
+    for (q, t), w in left.items():
+        for (d, u), x in right.items():
+            if t == u:
+                want[q, d] = want.get((q, d), 0) + w * x
+    lf = spark.createDataFrame([(q, t, w) for (q, t), w in left.items()], "query_id long, term string, w long")
+    rf = spark.createDataFrame([(d, t, float(x)) for (d, t), x in right.items()], "doc_id long, term string, x double")
+    product = lambda w, x, _: (w * x,)
+    for entries in (1, 20, 1 << 20):
+        got = products.shared_sums(lf, rf, ["s"], product, entries=entries)
+        assert {(r["query_id"], r["doc_id"]): r["s"] for r in got.collect()} == want
+    few = products.shared_sums(lf, rf, ["score"], product, final=lambda s, _, w: s, best=(3, 0))
+    top = scoring.top_k(spark.createDataFrame([(q, d, float(s)) for (q, d), s in want.items()], "query_id long, doc_id long, score double"), 3, 0)
+    assert sorted(map(tuple, scoring.top_k(few, 3, 0).collect())) == sorted(map(tuple, top.collect()))
+    assert few.count() < len(want)
+
+
 def test_sequential_fold(spark):
     """The fold over lists of words in memory, with an intersection that runs empty on the way."""
     words = ["dolore", "labore", "aliquip", "qui", "quis", "cupidatat", "voluptate", "ab", "cd", "abxx", "zz"]

@@ -12,10 +12,14 @@ def wildcard_options(patterns: DataFrame, kgrams: DataFrame, k: int, verify: boo
     """(pattern, word): words that have all of a pattern's grams and, with verify, match it."""
     grams = patterns.select("pattern").distinct().select("pattern", T.pattern_grams(F.col("pattern"), k).alias("grams"))
     wanted = grams.select("pattern", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    found = wanted.join(kgrams.distinct(), "gram").groupBy("pattern", "m", "word").agg(F.count("*").alias("n")).where("n = m")
-    if verify:
-        found = found.where(F.rlike("word", T.as_regex(F.col("pattern"))))
-    return found.select("pattern", "word")
+    rows = kgrams.join(F.broadcast(wanted.select("gram").distinct()), "gram", "left_semi").distinct()
+    if not verify:
+        found = wanted.join(rows, "gram").groupBy("pattern", "m", "word").agg(F.count("*").alias("n")).where("n = m")
+        return found.select("pattern", "word")
+    # A word that matches has all grams, so those of the rarest one are enough to look at.
+    sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(sizes, "gram").groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rows.join(F.broadcast(rarest), "gram").where(F.rlike("word", T.as_regex(F.col("pattern")))).select("pattern", "word")
 
 
 def sequential_options(patterns: DataFrame, kgrams: DataFrame, k: int) -> DataFrame:
