@@ -17,6 +17,6 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends each batch's postings under its number; a batch that is run again replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        I.postings(I.terms_of(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        I.doc_postings(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
